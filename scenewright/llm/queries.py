@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, simhash
+from . import bpe_count, exact, licenses, quality, secret_scan, simhash
 from .common import table
 
 
@@ -27,10 +27,43 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
 
 
+def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_groups(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return bpe_count.count_tokens(table(spark, sf_dir, "documents"), str(model))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op4_exact": op4_exact,
+    "op5_tokens": op5_tokens,
+    "op6_licenses": op6_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS size,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
+            FROM documents
+        ), k AS (
+            SELECT doc_id, h, count(*) OVER (PARTITION BY h) AS group_size,
+                   first_value(doc_id) OVER (PARTITION BY h ORDER BY size DESC, doc_id) AS keep_id
+            FROM t
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k
+    """,
+}
