@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, exact, licenses, quality, secret_scan, simhash
+from . import bpe_count, decontam, exact, licenses, mixing, quality, secret_scan, simhash, warc
 from .common import table
 
 
@@ -44,6 +44,18 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_secrets": op2_secrets,
@@ -51,6 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact": op4_exact,
     "op5_tokens": op5_tokens,
     "op6_licenses": op6_licenses,
+    "op8_mixing": op8_mixing,
+    "op9_decontam": op9_decontam,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -66,4 +81,5 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k
     """,
+    "op8_mixing": mixing.MIX_SQL.format(docs="documents"),
 }
