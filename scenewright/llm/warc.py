@@ -155,7 +155,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least: in
                 continue
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                writer = BundleWriter(fs.open_output_stream(f"{root}/{name}"))
+                writer = BundleWriter(fs.open_output_stream(f"{root}/{name}", compression=None))
             ids, urls, first, revisit = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
             rows = []
             for i, u, payload, f, r in zip(ids, urls, as_bytes(batch.column(2)), first, revisit):
