@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, decontam, exact, licenses, mixing, quality, secret_scan, simhash, warc
+from . import bpe_count, decontam, exact, licenses, lines, mixing, quality, secret_scan, simhash, warc
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact": op4_exact,
     "op5_tokens": op5_tokens,
     "op6_licenses": op6_licenses,
+    "op7_lines": op7_lines,
     "op8_mixing": op8_mixing,
     "op9_decontam": op9_decontam,
     "op10_warc": op10_warc,
