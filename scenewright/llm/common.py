@@ -94,3 +94,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def pick(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under the operator's own names: extra or clashing columns never matter."""
     return docs.select(*[F.col(f"`{name}`").alias(alias) for alias, name in columns.items()])
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it apart from all columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, as_bytes, pick
+from .common import Cut, as_bytes, fresh, pick
 from .components import connected_components
 
 SHINGLE = 5
@@ -38,7 +38,10 @@ MAX_BITS = 1 << 28
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 _BINS = BANDS * ROWS
-_MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+_MUL = np.array(
+    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB],
+    np.uint64,
+)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -373,14 +376,16 @@ def line_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the dropped lines. A row that loses all its lines goes; others keep their columns but for ``text``, and ``n_chars`` where there is one."""
-    found = decisions(spark, docs).filter("size(gone) > 0").select(F.col("d").alias("d_"), F.col("x").alias("x_"), F.col("n_lines").alias("n_"), F.col("gone").alias("gone_"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("d_")) & (F.xxhash64(docs["text"]) == F.col("x_")), "left")
+    d, x, n, gone = fresh(docs, "line_doc", "line_hash", "line_count", "line_gone")
+    found = decisions(spark, docs).filter("size(gone) > 0").select(F.col("d").alias(d), F.col("x").alias(x), F.col("n_lines").alias(n), F.col("gone").alias(gone))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(x)), "left")
     lines = F.split(docs["text"], "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("gone_"), s["i"]))
-    new = F.when(F.col("gone_").isNull(), docs["text"]).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    left = joined.filter("gone_ is null or size(gone_) < n_")
+    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone), s["i"]))
+    same = F.col(gone).isNull()
+    new = F.when(same, docs["text"]).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    left = joined.filter(same | (F.size(gone) < F.col(n)))
     rest = {"text": new}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rest["n_chars"] = F.when(F.col("gone_").isNull(), docs["n_chars"]).otherwise(F.char_length(new).cast(kind))
-    return left.select(*[rest[c].alias(c) if c in rest else docs[c] for c in docs.columns])
+        rest["n_chars"] = F.when(same, docs["n_chars"]).otherwise(F.char_length(new).cast(kind))
+    return left.select(*[rest[c].alias(c) if c in rest else docs[f"`{c}`"] for c in docs.columns])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, as_bytes, pick
+from .common import Cut, as_bytes, fresh, pick
 from .components import connected_components, union_find
 
 RADIUS = 6
@@ -281,5 +281,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each component, all columns unchanged. Rows that repeat a doc_id stay or go together; those without one stay."""
-    dropped = near_duplicates(spark, docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    (gone,) = fresh(docs, "near_gone")
+    dropped = near_duplicates(spark, docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, docs["doc_id"] == F.col(gone), "left_anti")
