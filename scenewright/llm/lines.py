@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import Cut, as_bytes, fresh, pick
 from .components import connected_components
 
-SHINGLE = 5
+#: Long enough that unrelated lines of one language share few.
+SHINGLE = 8
 BANDS, ROWS = 10, 3
 THRESHOLD = 0.8
 BLOCK = 512
