@@ -173,7 +173,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
         made = counter(model_path)
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            n = [made.count(t.decode()) for t in texts]
+            n = [made.count(t.decode("utf-8", "replace")) for t in texts]
             columns = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -55,14 +55,28 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def similar(a: set[str], b: set[str]) -> bool:
-    small, large = sorted((len(a), len(b)))
+def similar(a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether two sets, as bit masks with their sizes, have a Jaccard similarity of ``THRESHOLD`` or more."""
+    small, large = (a[1], b[1]) if a[1] < b[1] else (b[1], a[1])
     if small < THRESHOLD * large:
         return False
-    both = len(a & b)
+    both = (a[0] & b[0]).bit_count()
     return both >= THRESHOLD * (small + large - both)
 
 
+def masks(lines: list[str]) -> list[tuple[int, int]]:
+    """The shingle sets of a group's lines as bit masks over the shingles of the group, with their sizes."""
+    number: dict[str, int] = {}
+    places = [[number.setdefault(x, len(number)) for x in shingles(line)] for line in lines]
+    row = np.zeros(len(number), bool)
+    made = []
+    for p in places:
+        row[p] = True
+        made.append((int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little"), len(p)))
+        row[p] = False
+    return made
+
+
 def bands(lines: list[str]) -> np.ndarray:
     """``BANDS`` hashes of each line; rows that share one in the same place are candidates."""
     out = np.empty((len(lines), BANDS), np.int64)
@@ -230,7 +244,7 @@ class _Groups:
     def __init__(self):
         self.edges: list[tuple[int, int]] = []
 
-    def within(self, lines: list[tuple[int, set[str]]], joined: list[list[tuple[int, set[str]]]] | None = None, against: bool = False) -> None:
+    def within(self, lines: list[tuple[int, tuple[int, int]]], joined: list[list[tuple[int, tuple[int, int]]]] | None = None, against: bool = False) -> None:
         parts = joined or []
         for k, s in lines:
             hit = [p for p in parts if any(similar(s, t) for _, t in p)]
@@ -244,7 +258,7 @@ class _Groups:
             elif not against:
                 parts.append([(k, s)])
 
-    def across(self, left: list[tuple[int, set[str]]], right: list[tuple[int, set[str]]]) -> None:
+    def across(self, left: list[tuple[int, tuple[int, int]]], right: list[tuple[int, tuple[int, int]]]) -> None:
         """Links between two blocks whose inner links others find."""
         self.within(right, [[x] for x in left], against=True)
 
@@ -255,13 +269,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close():
         i, j = now[1:]
-        texts = {}
-        for b, k, t in held:
-            texts.setdefault((b, k, t), (k, shingles(t)))
+        once = list(dict.fromkeys(held))
+        sets = masks([t for _, _, t in once])
+        part = lambda own: [(k, m) for (b, k, _), m in zip(once, sets) if b == own]
         if i == j:
-            found.within(list(texts.values()))
+            found.within(part(i))
         else:
-            found.across([v for (b, _, _), v in texts.items() if b == i], [v for (b, _, _), v in texts.items() if b == j])
+            found.across(part(i), part(j))
 
     def rows():
         a, b = zip(*found.edges)

@@ -63,7 +63,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             made = np.fromiter((fingerprint(t) for t in as_bytes(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(each, "doc_id long, fp long")
+    own = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return own.mapInArrow(each, "doc_id long, fp long")
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

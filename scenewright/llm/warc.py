@@ -140,7 +140,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least: in
     row with the smallest page_id; rows that repeat that id are responses too. A null html is an empty payload. An empty
     table gives bundles without records, or none.
     """
-    own = pick(pages, page_id="page_id", url="url", html="html").withColumn("html", F.coalesce("html", F.lit("")))
+    own = pick(pages, page_id="page_id", url="url", html="html").withColumns({"page_id": F.col("page_id").cast("long"), "html": F.coalesce("html", F.lit(""))})
     later = decisions(own.filter(F.octet_length("html") >= least) if least else own)
     own = own.withColumn("sha", F.sha2(F.encode("html", "UTF-8"), 256))
     on = F.col("page_id").eqNullSafe(F.col("d_id")) & (F.col("sha") == F.col("d_sha"))
