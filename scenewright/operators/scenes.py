@@ -35,16 +35,18 @@ def wide_values(values: DataFrame) -> DataFrame:
     return values.groupBy(F.col("object_name").alias("v_name")).agg(*made)
 
 
-def nested(objects: DataFrame, values: DataFrame | None = None) -> DataFrame:
+def nested(objects: DataFrame, values: DataFrame | None = None, key: str = "object_name") -> DataFrame:
     """(scene_id, n, objs): a scene's objects in the order of idx, with volume ``vol`` and, given ``values``, their attributes.
 
+    ``key`` is the objects' column that the values' object_name stands for.
+
     A scene has at most nine objects, so a nested row is small, and every question about a scene is an expression over
     it: one shuffle by scene serves all of them.
     """
     rows = objects
     extra: list = []
     if values is not None:
-        rows = rows.join(wide_values(values), rows["object_name"] == F.col("v_name"), "left")
+        rows = rows.join(wide_values(values), rows[key] == F.col("v_name"), "left")
         extra = [F.coalesce(a, F.array().cast("array<string>")).alias(a) for a in ATTRIBUTES]
     fields = ["idx", "object_id", "object_name", *_NUMBERS]
     one = F.struct(*fields, volume({c: F.col(c) for c in _NUMBERS}).alias("vol"), *extra)
