@@ -58,23 +58,47 @@ def shingles(line: str) -> set[str]:
 def similar(a: tuple[int, int], b: tuple[int, int]) -> bool:
     """Whether two sets, as bit masks with their sizes, have a Jaccard similarity of ``THRESHOLD`` or more."""
     small, large = (a[1], b[1]) if a[1] < b[1] else (b[1], a[1])
-    if small < THRESHOLD * large:
+    if small < THRESHOLD * large or not a[0] or not b[0]:
         return False
     both = (a[0] & b[0]).bit_count()
     return both >= THRESHOLD * (small + large - both)
 
 
 def masks(lines: list[str]) -> list[tuple[int, int]]:
-    """The shingle sets of a group's lines as bit masks over the shingles of the group, with their sizes."""
-    number: dict[str, int] = {}
-    places = [[number.setdefault(x, len(number)) for x in shingles(line)] for line in lines]
-    row = np.zeros(len(number), bool)
-    made = []
-    for p in places:
-        row[p] = True
-        made.append((int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little"), len(p)))
-        row[p] = False
-    return made
+    """The shingle sets of a group's lines as bit masks over the shingles of the group, with their sizes.
+
+    Of at most 256 different characters a shingle is one 64-bit number. A line shorter than a shingle has a mask of no
+    bits and size 1: it is like no other line.
+    """
+    long = [x for x in lines if len(x) >= SHINGLE]
+    made: list[tuple[int, int]] = []
+    if long:
+        code = np.frombuffer("".join(long).encode("utf-32-le", "surrogatepass"), np.uint32)
+        alphabet = None
+        if code.max() > 255:
+            alphabet, code = np.unique(code, return_inverse=True)
+        if alphabet is not None and len(alphabet) > 256:
+            number: dict[str, int] = {}
+            places = [np.array([number.setdefault(x, len(number)) for x in shingles(line)]) for line in long]
+            total = len(number)
+        else:
+            code = code.astype(np.uint64)
+            h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
+            for i in range(SHINGLE):
+                h |= code[i : i + len(h)] << np.uint64(8 * i)
+            end = np.cumsum([len(x) for x in long])
+            spans = [(e - len(x), e - SHINGLE + 1) for x, e in zip(long, end.tolist())]
+            values, at = np.unique(np.concatenate([h[a:b] for a, b in spans]), return_inverse=True)
+            places = np.split(at, np.cumsum([b - a for a, b in spans])[:-1])
+            total = len(values)
+        row = np.zeros(total, bool)
+        for p in places:
+            row[p] = True
+            packed = np.packbits(row, bitorder="little").tobytes()
+            made.append((int.from_bytes(packed, "little"), int(np.count_nonzero(row))))
+            row[p] = False
+    rest = iter(made)
+    return [next(rest) if len(x) >= SHINGLE else (0, 1) for x in lines]
 
 
 def bands(lines: list[str]) -> np.ndarray:
@@ -83,7 +107,7 @@ def bands(lines: list[str]) -> np.ndarray:
     k = 0
     while k < len(lines):
         end, total = k, 0
-        while end < len(lines) and (end == k or total + len(lines[end]) < 1 << 20):
+        while end < len(lines) and (end == k or total + len(lines[end]) < 1 << 16):  # what fits a core's cache
             total += len(lines[end]) + SHINGLE - 1
             end += 1
         out[k:end] = _bands(lines[k:end])
