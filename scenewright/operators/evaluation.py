@@ -39,7 +39,7 @@ def utility(candidates: DataFrame, history: DataFrame, weight: float = 0.2) -> D
     similarity 0. The history is at most the evaluation budget, so it is collected as one matrix and broadcast.
     """
     rows = history.select("embedding", "is_correct").toArrow()
-    matrix = np.array(rows.column("embedding").to_pylist(), float).reshape(rows.num_rows, -1)
+    matrix = np.array(rows.column("embedding").to_pylist(), float)
     wrong = ~np.array(rows.column("is_correct").to_pylist(), bool)
     shared = candidates.sparkSession.sparkContext.broadcast((matrix, wrong))
 

@@ -72,7 +72,7 @@ def _responses() -> list[tuple[int, str]]:
         rel(relation="inside"),
         but(description="Only the table."),
         but(relations=[]),
-        obj(1, name="table"),
+        but(objects=[base["objects"][0], base["objects"][1] | {"name": "table"}], relations=[]),
     ]
     return list(enumerate(texts))
 
