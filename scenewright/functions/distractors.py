@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..enums import RELATIONS
@@ -32,7 +32,8 @@ def ranked(values: Column, *key) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["v"])
 
 
-def compose(answer: Column, candidates: Column, options: int, *key) -> Column:
-    """The answer and ``options`` - 1 of the candidates, in random order; null if there are too few."""
-    wrong = F.slice(ranked(F.filter(candidates, lambda c: c != answer), *key, "pick"), 1, options - 1)
-    return F.when(F.size(wrong) == options - 1, ranked(F.concat(wrong, F.array(answer)), *key, "mix"))
+def with_options(rows: DataFrame, answer: str, candidates: str, options: int, *key) -> DataFrame:
+    """The rows with ``options``: the answer and ``options`` - 1 of the candidates, in random order; rows with too few are left out."""
+    wrong = F.slice(ranked(F.filter(candidates, lambda c: c != F.col(answer)), *key, "pick"), 1, options - 1)
+    chosen = rows.withColumn("chosen_", wrong).filter(F.size("chosen_") == options - 1)
+    return chosen.withColumn("options", ranked(F.concat("chosen_", F.array(answer)), *key, "mix")).drop("chosen_")

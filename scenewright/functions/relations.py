@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def squared_distance(a: Column, b: Column) -> Column:
+def squared_distance(a, b) -> Column:
     """Squared distance of two positions (struct fields px, py, pz); orders like the distance."""
     dx, dy, dz = (a[c] - b[c] for c in ("px", "py", "pz"))
     return dx * dx + dy * dy + dz * dz
@@ -17,7 +17,7 @@ def volume(o) -> Column:
     return F.lit(8.0) * o["hx"] * o["hy"] * o["hz"]
 
 
-def direction(target: Column, reference: Column) -> Column:
+def direction(target, reference) -> Column:
     """Where the target is, by the axis of the largest difference; the first of x, y, z on ties, zero counts as negative."""
     dx, dy, dz = (target[c] - reference[c] for c in ("px", "py", "pz"))
     ax, ay, az = F.abs(dx), F.abs(dy), F.abs(dz)

@@ -1,4 +1,4 @@
-"""Scenes: layouts joined with objects, as rows and as one nested row a scene."""
+"""Scenes: objects in layouts, their attribute values, samples of the catalog, and number scenes."""
 
 from __future__ import annotations
 
@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..enums import ATTRIBUTES, LEAST_OBJECTS, MOST_OBJECTS
-from ..functions.relations import volume
 from ..rng import order_key, uniform
 
-_NUMBERS = ("px", "py", "pz", "hx", "hy", "hz")
-
 
 def component_values(components: DataFrame) -> DataFrame:
     """(object_name, attribute, value) for the attributes of components that aren't missing, null or empty; distinct."""
@@ -29,30 +26,6 @@ def object_values(values: DataFrame) -> DataFrame:
     return values.groupBy("object_name", "attribute").agg(F.array_sort(F.collect_set("value")).alias("vals"))
 
 
-def wide_values(values: DataFrame) -> DataFrame:
-    """One row an object, with a sorted array of values for each attribute; empty where there is none."""
-    made = [F.array_sort(F.collect_set(F.when(F.col("attribute") == a, F.col("value")))).alias(a) for a in ATTRIBUTES]
-    return values.groupBy(F.col("object_name").alias("v_name")).agg(*made)
-
-
-def nested(objects: DataFrame, values: DataFrame | None = None, key: str = "object_name") -> DataFrame:
-    """(scene_id, n, objs): a scene's objects in the order of idx, with volume ``vol`` and, given ``values``, their attributes.
-
-    ``key`` is the objects' column that the values' object_name stands for.
-
-    A scene has at most nine objects, so a nested row is small, and every question about a scene is an expression over
-    it: one shuffle by scene serves all of them.
-    """
-    rows = objects
-    extra: list = []
-    if values is not None:
-        rows = rows.join(wide_values(values), rows[key] == F.col("v_name"), "left")
-        extra = [F.coalesce(a, F.array().cast("array<string>")).alias(a) for a in ATTRIBUTES]
-    fields = ["idx", "object_id", "object_name", *_NUMBERS]
-    one = F.struct(*fields, volume({c: F.col(c) for c in _NUMBERS}).alias("vol"), *extra)
-    return rows.groupBy("scene_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(one)).alias("objs"))
-
-
 def in_range(objects: DataFrame, least: int = LEAST_OBJECTS, most: int = MOST_OBJECTS) -> DataFrame:
     """Only the scenes with so many objects."""
     n = F.count("*").over(Window.partitionBy("scene_id"))
@@ -95,7 +68,7 @@ def number_scenes(scenes: DataFrame, catalog: DataFrame, splits: DataFrame, seed
     chosen = chosen.join(splits, ["n", "cfg"]).select("scene_id", "n", "counts")
     keyed = F.transform("counts", lambda c, i: F.struct(order_key(seed, "count", F.col("scene_id"), i).alias("h"), c.alias("c")))
     chosen = chosen.withColumn("mixed", F.transform(F.array_sort(keyed), lambda s: s["c"]))
-    kinds = sample_objects(chosen, catalog, F.size("counts"), seed)
+    kinds = sample_objects(chosen, catalog, F.size("counts"), seed, draws=12)
     rows = chosen.join(kinds, "scene_id").withColumn("cnt", F.element_at("mixed", (F.col("type_idx") + 1).cast("int")).cast("long"))
     w = Window.partitionBy("scene_id").orderBy("type_idx")
     end = F.sum("cnt").over(w)

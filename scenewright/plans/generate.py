@@ -59,7 +59,7 @@ def attempts(inputs: Inputs, layouts: DataFrame, seed: int, first: int, last: in
 def _ask(inputs: Inputs, plan: TaskPlan, rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """Questions of a plan over scenes, with ``cand`` (wrong answers, best first), and the columns of the dedupe key."""
     kind, c, k = plan.generator_type, plan.generator_config, plan.num_options - 1
-    scenes = s.nested(rows, inputs.values, key="object_id")
+    values = s.object_values(inputs.values)
     names = rows.groupBy("scene_id").agg(F.collect_set("object_name").alias("scene_names"), F.collect_list(F.struct("idx", "object_id", "object_name")).alias("members"))
 
     def with_names(tasks: DataFrame) -> DataFrame:
@@ -87,10 +87,10 @@ def _ask(inputs: Inputs, plan: TaskPlan, rows: DataFrame) -> tuple[DataFrame, li
 
     if kind in ("what_distance", "where_distance", "what_size", "where_size"):
         made = {
-            "what_distance": lambda: g.what_distance(scenes, c["distance_type"]),
-            "where_distance": lambda: g.where_distance(scenes, c["distance_type"]),
-            "what_size": lambda: g.what_size(scenes, c["size_type"]),
-            "where_size": lambda: g.where_size(scenes, c["size_type"], c.get("reference_mode", "with_reference")),
+            "what_distance": lambda: g.what_distance(rows, c["distance_type"]),
+            "where_distance": lambda: g.where_distance(rows, c["distance_type"]),
+            "what_size": lambda: g.what_size(rows, c["size_type"]),
+            "where_size": lambda: g.where_size(rows, c["size_type"], c.get("reference_mode", "with_reference")),
         }[kind]()
         has_ref = "ref_idx" in made.columns
         t = with_names(one_reference(made) if has_ref else made)
@@ -102,7 +102,7 @@ def _ask(inputs: Inputs, plan: TaskPlan, rows: DataFrame) -> tuple[DataFrame, li
         return t, ["target_id", *(["ref_id"] if has_ref else [])]
     if kind.endswith(("_attribute_distance", "_attribute_size")):
         by = "distance_type" if "distance" in kind else "size_type"
-        made = getattr(g, kind)(scenes, c[by])
+        made = getattr(g, kind)(rows, values, c[by], key="object_id")
         has_ref = "ref_idx" in made.columns
         made = one_attribute(made, *(["ref_idx"] if has_ref else []))
         t = with_names(one_reference(made) if has_ref else made)
@@ -117,8 +117,7 @@ def _ask(inputs: Inputs, plan: TaskPlan, rows: DataFrame) -> tuple[DataFrame, li
             q = F.concat(F.lit("What is the "), "attribute", F.lit(" of the "), "component", F.lit(" in the "), "target_name", F.lit("?"))
             t = t.withColumn("question", q).join(inputs.vocabulary, "attribute").withColumn("cand", F.array_remove("vocab", F.col("answer")))
             return t, ["target_id", "component", "attribute"]
-        values = s.object_values(inputs.values).withColumnRenamed("object_name", "target_id")
-        t = one_attribute(first.join(values, "target_id"))
+        t = one_attribute(first.join(values.withColumnRenamed("object_name", "target_id"), "target_id"))
         listed = kind == "list_attribute"
         q = F.concat(F.lit("List all " if listed else "How many "), "attribute", F.lit("s in the components of the " if listed else "s are in the components of the "), "target_name", F.lit("." if listed else "?"))
         t = t.withColumn("question", q).withColumn("answer", F.array_join("vals", ", ") if listed else F.size("vals").cast("string"))
@@ -180,8 +179,7 @@ def tasks(inputs: Inputs, plan: TaskPlan, wanted: int, oversample: int = 4, roun
     for turn in range(rounds):
         rows = attempts(inputs, layouts, plan.seed, 0, last)
         asked, key = _ask(inputs, plan, rows)
-        options = distractors.compose(F.col("answer"), F.col("cand"), plan.num_options, plan.seed, F.col("scene_id"))
-        ready = asked.withColumn("options", options).filter("options is not null and answer <> ''")
+        ready = distractors.with_options(asked.filter("answer <> ''"), "answer", "cand", plan.num_options, plan.seed, F.col("scene_id"))
         kept = g.first_seen(ready, key, ["scene_id"]).orderBy("scene_id").limit(wanted).select("scene_id", "question", "options", "answer").cache()
         if kept.count() >= wanted or turn == rounds - 1:
             break

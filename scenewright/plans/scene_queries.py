@@ -29,8 +29,8 @@ def _values(spark, d):
     return s.component_values(components(spark, d))
 
 
-def _nested(spark, d, attributes=False):
-    return s.nested(scene_objects(spark, d), _values(spark, d) if attributes else None)
+def _having(spark, d):
+    return scene_objects(spark, d), s.object_values(_values(spark, d))
 
 
 def _kinds(spark, d):
@@ -73,18 +73,21 @@ _add(
 
 
 def _pairs(sp, d):
-    rows = _nested(sp, d).withColumn("r", F.explode("objs")).select("scene_id", "r", F.explode(F.filter("objs", lambda o: o["idx"] != F.col("r.idx"))).alias("t"))
-    return rows
+    return g._pairs(scene_objects(sp, d), 2)
+
+
+def _at(p: str) -> dict:
+    return {c: F.col(f"{p}_{c}") for c in ("px", "py", "pz")}
 
 
 _add(
     "scene_pair_distances",
-    lambda sp, d: _pairs(sp, d).select("scene_id", F.col("r.idx").alias("ref_idx"), F.col("t.idx").alias("target_idx"), F.round(F.sqrt(relations.squared_distance(F.col("t"), F.col("r"))), 4).alias("distance")),
+    lambda sp, d: _pairs(sp, d).select("scene_id", F.col("r_idx").alias("ref_idx"), F.col("t_idx").alias("target_idx"), F.round(F.sqrt("d2"), 4).alias("distance")),
     "SELECT scene_id, ref_idx, target_idx, round(sqrt(d2), 4) AS distance FROM pairs",
 )
 _add(
     "scene_relations",
-    lambda sp, d: _pairs(sp, d).select("scene_id", F.col("r.idx").alias("ref_idx"), F.col("t.idx").alias("target_idx"), relations.direction(F.col("t"), F.col("r")).alias("direction")),
+    lambda sp, d: _pairs(sp, d).select("scene_id", F.col("r_idx").alias("ref_idx"), F.col("t_idx").alias("target_idx"), relations.direction(_at("t"), _at("r")).alias("direction")),
     "SELECT scene_id, ref_idx, target_idx, direction FROM pairs",
 )
 
@@ -93,13 +96,13 @@ for _t in ("closest", "farthest"):
     _o = "d2, target_idx" if _t == "closest" else "d2 DESC, target_idx"
     _add(
         f"what_distance_{_t}",
-        lambda sp, d, t=_t: g.what_distance(_nested(sp, d), t),
+        lambda sp, d, t=_t: g.what_distance(scene_objects(sp, d), t),
         f""", b AS (SELECT *, row_number() OVER (PARTITION BY scene_id, ref_idx ORDER BY {_o}) AS r FROM pairs WHERE n >= 3)
         SELECT scene_id, ref_idx, target_idx, 'What is the object that is {_t} from the ' || ref_name || '?' AS question, target_name AS answer FROM b WHERE r = 1""",
     )
     _add(
         f"where_distance_{_t}",
-        lambda sp, d, t=_t: g.where_distance(_nested(sp, d), t),
+        lambda sp, d, t=_t: g.where_distance(scene_objects(sp, d), t),
         f""", b AS (SELECT *, row_number() OVER (PARTITION BY scene_id, ref_idx ORDER BY {_o}) AS r FROM pairs)
         SELECT scene_id, ref_idx, target_idx, 'Where is the object that is {_t} from the ' || ref_name || '?' AS question, direction AS answer FROM b WHERE r = 1""",
     )
@@ -108,7 +111,7 @@ for _t in ("closest", "farthest"):
         FROM pairs p JOIN ov ON ov.object_name = p.target_name)"""
     _add(
         f"list_attribute_distance_{_t}",
-        lambda sp, d, t=_t: g.list_attribute_distance(_nested(sp, d, True), t),
+        lambda sp, d, t=_t: g.list_attribute_distance(*_having(sp, d), t),
         _with
         + f"""
         SELECT scene_id, ref_idx, attribute, target_idx, 'List all ' || attribute || 's in the components of the object {_t} from the ' || ref_name || '.' AS question,
@@ -116,7 +119,7 @@ for _t in ("closest", "farthest"):
     )
     _add(
         f"count_attribute_distance_{_t}",
-        lambda sp, d, t=_t: g.count_attribute_distance(_nested(sp, d, True), t),
+        lambda sp, d, t=_t: g.count_attribute_distance(*_having(sp, d), t),
         _with
         + f"""
         SELECT scene_id, ref_idx, attribute, target_idx, 'How many ' || attribute || 's are in the components of the object {_t} from the ' || ref_name || '?' AS question,
@@ -146,20 +149,20 @@ for _t in ("largest", "smallest"):
     _big = f", b AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {_o}) AS r FROM so)"
     _add(
         f"what_size_{_t}",
-        lambda sp, d, t=_t: g.what_size(_nested(sp, d), t),
+        lambda sp, d, t=_t: g.what_size(scene_objects(sp, d), t),
         _big + f" SELECT scene_id, idx AS target_idx, 'What is the {_t} object in the scene?' AS question, object_name AS answer FROM b WHERE r = 1",
     )
     _with = f""", b AS (
         SELECT so.*, attribute, vals, row_number() OVER (PARTITION BY scene_id, attribute ORDER BY {_o}) AS r FROM so JOIN ov USING (object_name))"""
     _add(
         f"list_attribute_size_{_t}",
-        lambda sp, d, t=_t: g.list_attribute_size(_nested(sp, d, True), t),
+        lambda sp, d, t=_t: g.list_attribute_size(*_having(sp, d), t),
         _with
         + f" SELECT scene_id, attribute, idx AS target_idx, 'List all ' || attribute || 's in the components of the {_t} object in the scene?' AS question, array_to_string(vals, ', ') AS answer FROM b WHERE r = 1",
     )
     _add(
         f"count_attribute_size_{_t}",
-        lambda sp, d, t=_t: g.count_attribute_size(_nested(sp, d, True), t),
+        lambda sp, d, t=_t: g.count_attribute_size(*_having(sp, d), t),
         _with
         + f" SELECT scene_id, attribute, idx AS target_idx, 'How many ' || attribute || 's are in the components of the {_t} object in the scene?' AS question, CAST(len(vals) AS VARCHAR) AS answer FROM b WHERE r = 1",
     )
@@ -171,7 +174,7 @@ for _t in ("largest", "smallest"):
         _own = "p.ref_idx AS ref_idx, p.target_idx AS target_idx" if _m != "reference_to_target" else "p.target_idx AS ref_idx, p.ref_idx AS target_idx"
         _add(
             f"where_size_{_m}_{_t}",
-            lambda sp, d, t=_t, m=_m: g.where_size(_nested(sp, d), t, m),
+            lambda sp, d, t=_t, m=_m: g.where_size(scene_objects(sp, d), t, m),
             _big + f" SELECT p.scene_id, {_own}, {_q} AS question, direction AS answer FROM pairs p JOIN b ON p.scene_id = b.scene_id AND {_join} WHERE b.r = 1",
         )
 
@@ -182,7 +185,7 @@ _KINDS_SQL = f""", z AS (SELECT scene_id, n FROM so WHERE n >= 3 GROUP BY scene_
     ch AS (SELECT scene_id, cf.n, counts FROM cf JOIN {splits_sql()} ON cf.n = splits.n AND cf.cfg = splits.cfg),
     mx AS (SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY {order_key_sql(f"'{SEED}'", "'count'", "scene_id", "(i - 1)")}, c) - 1 AS type_idx, c AS cnt
            FROM (SELECT scene_id, unnest(counts) AS c, generate_subscripts(counts, 1) AS i FROM ch)),
-    dr AS (SELECT scene_id, i, CAST(floor({uniform_sql(f"'{SEED}'", "scene_id", "i")} * (SELECT count(*) FROM cat)) AS BIGINT) AS ord FROM ch, range(24) t(i)),
+    dr AS (SELECT scene_id, i, CAST(floor({uniform_sql(f"'{SEED}'", "scene_id", "i")} * (SELECT count(*) FROM cat)) AS BIGINT) AS ord FROM ch, range(12) t(i)),
     ds AS (SELECT scene_id, ord, row_number() OVER (PARTITION BY scene_id ORDER BY min(i)) - 1 AS type_idx FROM dr GROUP BY scene_id, ord),
     kinds AS (
         SELECT ch.scene_id, ch.n, ds.type_idx, object_id, object_name, CAST(cnt AS BIGINT) AS cnt, CAST(sum(cnt) OVER (PARTITION BY ch.scene_id ORDER BY ds.type_idx) - 1 AS BIGINT) AS last_idx
@@ -247,15 +250,16 @@ _add(
 _REL_SQL = ", ".join(f"('{r}')" for r in RELATIONS)
 _add(
     "relation_distractors",
-    lambda sp, d: _pairs(sp, d).select(relations.direction(F.col("t"), F.col("r")).alias("direction")).distinct().select("direction", F.array_join(distractors.relations(F.col("direction")), "|").alias("wrong")),
+    lambda sp, d: _pairs(sp, d).select(relations.direction(_at("t"), _at("r")).alias("direction")).distinct().select("direction", F.array_join(distractors.relations(F.col("direction")), "|").alias("wrong")),
     f"SELECT direction, string_agg(r, '|' ORDER BY r) AS wrong FROM (SELECT DISTINCT direction FROM pairs), (VALUES {_REL_SQL}) t(r) WHERE r <> direction GROUP BY direction",
 )
 
 
-def _name_candidates(sp, d):
+def _name_candidates(sp, d, objects=None):
     """Wrong names for the largest object: the scene's other names, then catalog names that aren't in the scene."""
-    found = g.what_size(_nested(sp, d), "largest").alias("f")
-    own = scene_objects(sp, d).groupBy("scene_id").agg(F.collect_set("object_name").alias("own"))
+    objects = scene_objects(sp, d) if objects is None else objects
+    found = g.what_size(objects, "largest")
+    own = objects.groupBy("scene_id").agg(F.collect_set("object_name").alias("own"))
     names = catalog(sp, d)
     size = names.count()
     drawn = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.floor(F.conv(F.substring(order_key(SEED, "name", F.col("scene_id"), i), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0) * size).cast("long")))
@@ -307,10 +311,8 @@ _add(
 )
 
 
-def _options(sp, d):
-    rows = _name_candidates(sp, d)
-    made = distractors.compose(F.col("answer"), F.col("wrong"), 4, SEED, F.col("scene_id"))
-    return rows.withColumn("options", made).filter("options is not null")
+def _options(sp, d, objects=None):
+    return distractors.with_options(_name_candidates(sp, d, objects), "answer", "wrong", 4, SEED, F.col("scene_id"))
 
 
 _OPTIONS_SQL = _NAMES_SQL + f""", op AS (
@@ -324,11 +326,8 @@ _add(
 
 
 def _first_seen(sp, d):
-    rows = g.what_distance(_nested(sp, d), "closest")
-    named = scene_objects(sp, d).select(F.col("scene_id").alias("s"), F.col("idx").alias("i"), F.col("object_id").alias("ref_id"))
-    two = named.select(F.col("s").alias("s2"), F.col("i").alias("i2"), F.col("ref_id").alias("target_id"))
-    joined = rows.join(named, (F.col("scene_id") == F.col("s")) & (F.col("ref_idx") == F.col("i"))).join(two, (F.col("scene_id") == F.col("s2")) & (F.col("target_idx") == F.col("i2")))
-    kept = g.first_seen(joined, ["target_id", "ref_id"], ["scene_id", "ref_idx"])
+    rows = g.what_distance(scene_objects(sp, d), "closest", ids=True)
+    kept = g.first_seen(rows, ["target_id", "ref_id"], ["scene_id", "ref_idx"])
     return kept.select("scene_id", "ref_idx", "target_idx", "ref_id", "target_id", "question", "answer")
 
 
@@ -344,7 +343,15 @@ _add(
 
 def _records(sp, d, wanted: int = 1000):
     """Task records of the first ``wanted`` tasks by scene: the limit is the number of tasks asked for."""
-    first = _options(sp, d).orderBy("scene_id").limit(wanted)
+    objects, n = scene_objects(sp, d), 2 * wanted
+    ids = objects.select("scene_id").distinct()
+    total = ids.count()
+    while True:  # the first scenes, twice as many while they give too few tasks
+        some = ids.orderBy("scene_id").limit(n)
+        first = _options(sp, d, objects.join(some, "scene_id", "left_semi")).orderBy("scene_id").limit(wanted)
+        if n >= total or first.count() == wanted:
+            break
+        n *= 2
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("scene_id")) - 1
     made = first.withColumn("question_id", number.cast("long"))
     point = F.concat(F.lpad(F.col("question_id").cast("string"), 6, "0"), F.lit(".npy"))
