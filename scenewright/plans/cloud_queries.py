@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import relations
-from ..operators import clouds, evaluation, geometry
+from ..operators import clouds, evaluation, geometry, models
 from ..rng import order_key, order_key_sql
 from .views import SEED, VIEWS_SQL, points, scene_objects, table
 
@@ -178,3 +178,38 @@ ORACLES["option_labels"] = """WITH b AS (SELECT DISTINCT p_type, p_brand FROM pa
     SELECT p_type, string_agg('(' || chr(CAST(64 + r AS INTEGER)) || ') ' || p_brand, ' ' ORDER BY r) AS options FROM k WHERE r <= 5 GROUP BY p_type"""
 QUERIES["shuffled_accuracy"] = lambda sp, d: evaluation.mean_accuracy(table(sp, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), (F.col("l_returnflag") != "R").alias("is_correct")), "task_id")
 ORACLES["shuffled_accuracy"] = "SELECT l_orderkey AS task_id, round(avg(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS trials FROM lineitem GROUP BY l_orderkey"
+
+
+# models: prompts over the catalog's types, cached inference and encoders
+def _asked(sp, d):
+    t = table(sp, d, "part").groupBy("p_type").agg(F.slice(F.array_sort(F.collect_set("p_brand")), 1, 4).alias("c"))
+    q = models.prompt(F.concat(F.lit("Which brand makes "), "p_type", F.lit("?")), F.col("c"))
+    return t.select("p_type", "c", q.alias("prompt")).withColumn("key", models.cache_key("baseline", F.col("p_type"), F.col("prompt")))
+
+
+_ASKED = """WITH b AS (SELECT DISTINCT p_type, p_brand FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_brand) AS r FROM b),
+    a AS (SELECT p_type, 'Which brand makes ' || p_type || '?' || chr(10) || chr(10) || string_agg('(' || chr(CAST(64 + r AS INTEGER)) || ') ' || p_brand, chr(10) ORDER BY r) || chr(10) || 'Give the letter of the right option.' AS prompt
+          FROM k WHERE r <= 4 GROUP BY p_type),
+    q AS (SELECT p_type, prompt, sha256('baseline' || chr(31) || p_type || chr(31) || prompt) AS key FROM a)"""
+QUERIES["default_prompts"] = lambda sp, d: _asked(sp, d).select("p_type", "prompt", "key")
+ORACLES["default_prompts"] = _ASKED + " SELECT p_type, prompt, key FROM q"
+
+
+def _cached(sp, d):
+    asked = _asked(sp, d)
+    cache = asked.filter("p_type < 'M'").select("key", F.lit("B").alias("response"))
+    answers, _ = models.infer(asked.select("key", "prompt"), cache, models.model("first-option"))
+    return asked.join(answers, "key").select("p_type", "response", evaluation.resolve_answer(F.col("response"), F.col("c")).alias("resolved"))
+
+
+QUERIES["cached_inference"] = _cached
+ORACLES["cached_inference"] = _ASKED + """
+    SELECT q.p_type, CASE WHEN q.p_type < 'M' THEN 'B' ELSE 'A' END AS response, max(CASE WHEN r = CASE WHEN q.p_type < 'M' THEN 2 ELSE 1 END THEN p_brand END) AS resolved
+    FROM q JOIN k ON k.p_type = q.p_type GROUP BY q.p_type"""
+_NAMES = ("chair", "table", "lamp", "book", "rug", "plant", "shelf", "cup", "desk", "clock")
+QUERIES["sampled_names"] = lambda sp, d: models.sample_names(table(sp, d, "orders").select(F.col("o_orderkey").alias("id")), list(_NAMES), SEED).select("id", F.array_join("names", ",").alias("names"))
+ORACLES["sampled_names"] = f"""WITH n AS (SELECT o_orderkey AS id, 2 + ('0x' || substr({order_key_sql(f"'{SEED}'", "'n'", "o_orderkey")}, 1, 8))::BIGINT % 8 AS n FROM orders),
+    r AS (SELECT id, n, x, row_number() OVER (PARTITION BY id ORDER BY {order_key_sql(f"'{SEED}'", "id", "x")}) AS r FROM n, (VALUES {", ".join(f"('{x}')" for x in _NAMES)}) t(x))
+    SELECT id, string_agg(x, ',' ORDER BY r) AS names FROM r WHERE r <= n GROUP BY id"""
+QUERIES["task_embeddings"] = lambda sp, d: models.embed_tasks(table(sp, d, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_type").alias("layout_text"), F.col("p_name").alias("question"), F.col("p_brand").alias("answer")))
+QUERIES["choice_search"] = lambda sp, d: models.search_choice(_asked(sp, d).select(F.crc32("p_type").alias("id"), F.concat(F.lit("brand "), F.element_at("c", 1)).alias("answer"), F.col("c").alias("choices")))
