@@ -5,24 +5,20 @@ from __future__ import annotations
 ATTRIBUTES = ("material", "color", "shape", "texture")
 
 #: Half-extents in each axis, least and most, of a size category.
-SIZES = {"largest": (1.5, 1.8), "large": (1.2, 1.5), "medium": (0.9, 1.2), "small": (0.7, 0.9), "smallest": (0.55, 0.7)}
+SIZES = dict(zip("largest large medium small smallest".split(), ((1.5, 1.8), (1.2, 1.5), (0.9, 1.2), (0.7, 0.9), (0.55, 0.7))))
 
-DIRECTIONAL = {"in front of": (0.0, 1.0), "behind": (0.0, -1.0), "to the left of": (-1.0, 0.0), "to the right of": (1.0, 0.0)}
-RADIAL = ("beside", "next to", "near", "far from", "surrounding", "at the center of")
-VERTICAL = ("on", "above", "below", "under")
-RELATIONS = ("in front of", "behind", "to the left of", "to the right of", "beside", "next to", "near", "far from", "on", "above", "below", "under", "surrounding", "at the center of")
+#: Unit vectors (x, z) of the directions.
+DIRECTIONAL = dict(zip("in front of|behind|to the left of|to the right of".split("|"), ((0, 1), (0, -1), (-1, 0), (1, 0))))
+RADIAL = "beside|next to|near|far from|surrounding|at the center of".split("|")
+VERTICAL = "on above below under".split()
+RELATIONS = (*DIRECTIONAL, *RADIAL[:4], *VERTICAL, *RADIAL[4:])
 
 #: Distance of a relation in sums of extents, least and most.
-REACH = {
-    "next to": (1.1, 1.8),
-    "near": (1.5, 2.5),
-    "far from": (3.0, 4.5),
-    "on": (1.0, 1.0),
-    "above": (1.5, 2.5),
-    "below": (1.5, 2.5),
-    "surrounding": (2.0, 3.0),
-    "at the center of": (0.0, 0.0),
-} | dict.fromkeys(("in front of", "behind", "to the left of", "to the right of", "beside", "under"), (1.2, 2.0))
+_REACH = """
+    in front of 1.2 2.0; behind 1.2 2.0; to the left of 1.2 2.0; to the right of 1.2 2.0; beside 1.2 2.0; under 1.2 2.0
+    next to 1.1 1.8; near 1.5 2.5; above 1.5 2.5; below 1.5 2.5; surrounding 2.0 3.0; far from 3.0 4.5; on 1 1; at the center of 0 0
+"""
+REACH = {" ".join(w): (float(a), float(b)) for *w, a, b in (x.split() for x in _REACH.replace("\n", ";").split(";") if x.strip())}
 
 LEAST_OBJECTS, MOST_OBJECTS = 2, 9
 BOUNDS, GAP, GROUND = 8.0, 0.05, 0.05

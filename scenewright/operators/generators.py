@@ -18,6 +18,9 @@ from ..enums import ATTRIBUTES
 from ..functions.relations import direction, squared_distance, volume
 
 
+_IN_SCENE = "s {}in the components of the {} {}object in the scene?"
+
+
 def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> None:
     if value not in allowed:
         raise ValueError(f"{name} must be one of {allowed}, not {value!r}")
@@ -174,14 +177,14 @@ def frequent_object(kinds: DataFrame, frequency_type: str) -> DataFrame:
 
 def list_attribute_frequent(kinds: DataFrame, object_values: DataFrame, frequency_type: str) -> DataFrame:
     """The values of each attribute that kind has."""
-    q = _text("List all ", F.col("attribute"), f"s in the components of the {frequency_type} frequent object in the scene?")
+    q = _text("List all ", F.col("attribute"), _IN_SCENE.format("", frequency_type, "frequent "))
     found = _frequent_kind(kinds, frequency_type).join(object_values, "object_name")
     return found.select("scene_id", "attribute", q.alias("question"), F.array_join("vals", ", ").alias("answer"))
 
 
 def count_attribute_frequent(kinds: DataFrame, object_values: DataFrame, frequency_type: str) -> DataFrame:
     """How many those are."""
-    q = _text("How many ", F.col("attribute"), f"s are in the components of the {frequency_type} frequent object in the scene?")
+    q = _text("How many ", F.col("attribute"), _IN_SCENE.format("are ", frequency_type, "frequent "))
     found = _frequent_kind(kinds, frequency_type).join(object_values, "object_name")
     return found.select("scene_id", "attribute", q.alias("question"), F.size("vals").cast("string").alias("answer"))
 
@@ -208,13 +211,13 @@ def _attribute_size(objects: DataFrame, object_values: DataFrame, size_type: str
 
 def list_attribute_size(objects: DataFrame, object_values: DataFrame, size_type: str, key: str = "object_name") -> DataFrame:
     """The attribute's values of the largest or smallest object that has the attribute."""
-    q = _text("List all ", F.col("attribute"), f"s in the components of the {size_type} object in the scene?")
+    q = _text("List all ", F.col("attribute"), _IN_SCENE.format("", size_type, ""))
     return _attribute_size(objects, object_values, size_type, key).select("scene_id", "attribute", F.col("target.idx").alias("target_idx"), q.alias("question"), F.array_join("vals", ", ").alias("answer"))
 
 
 def count_attribute_size(objects: DataFrame, object_values: DataFrame, size_type: str, key: str = "object_name") -> DataFrame:
     """How many those are."""
-    q = _text("How many ", F.col("attribute"), f"s are in the components of the {size_type} object in the scene?")
+    q = _text("How many ", F.col("attribute"), _IN_SCENE.format("are ", size_type, ""))
     return _attribute_size(objects, object_values, size_type, key).select("scene_id", "attribute", F.col("target.idx").alias("target_idx"), q.alias("question"), F.size("vals").cast("string").alias("answer"))
 
 
@@ -224,13 +227,14 @@ def where_size(objects: DataFrame, size_type: str, reference_mode: str = "with_r
     rows, order = _sized(objects, size_type)
     _, first = _first(order, "scene_id")
     found = rows.withColumn("t", first(_struct("", "idx", *_PLACE))).filter(F.col("idx") != F.col("t.idx"))
+    top = f"{size_type} object in the scene"
     t, r, name = F.col("t"), {c: F.col(c) for c in _PLACE}, F.col("object_name")
     if reference_mode == "no_reference":
-        q, a = F.lit(f"Where is the {size_type} object in the scene?"), direction(t, r)
+        q, a = _text("Where is the ", top, "?"), direction(t, r)
     elif reference_mode == "with_reference":
-        q, a = _text(f"Where is the {size_type} object in the scene with respect to the ", name, "?"), direction(t, r)
+        q, a = _text("Where is the ", top, " with respect to the ", name, "?"), direction(t, r)
     else:
-        q, a = _text("Where is the ", name, f" with respect to the {size_type} object in the scene?"), direction(r, t)
+        q, a = _text("Where is the ", name, " with respect to the ", top, "?"), direction(r, t)
     return found.select("scene_id", F.col("idx").alias("ref_idx"), t["idx"].alias("target_idx"), q.alias("question"), a.alias("answer"))
 
 

@@ -19,11 +19,9 @@ ORACLES: dict[str, str] = {}
 
 def _responses() -> list[tuple[int, str]]:
     """Valid descriptions, each rule broken once, and both ways of giving JSON."""
-    base = {
-        "description": "A lamp on the table.",
-        "objects": [{"name": "table", "size": "largest", "rotation": 0}, {"name": "lamp", "size": "smallest", "rotation": 90.5}],
-        "relations": [{"subject": "lamp", "relation": "on", "reference": "table"}],
-    }
+    box = lambda name, size, rotation: dict(name=name, size=size, rotation=rotation)
+    way = lambda subject, relation, reference: dict(subject=subject, relation=relation, reference=reference)
+    base = dict(description="A lamp on the table.", objects=[box("table", "largest", 0), box("lamp", "smallest", 90.5)], relations=[way("lamp", "on", "table")])
 
     def but(**change) -> str:
         made = json.loads(json.dumps(base)) | change
@@ -37,10 +35,10 @@ def _responses() -> list[tuple[int, str]]:
     def rel(drop: str = "", **change) -> str:
         return but(relations=[{k: v for k, v in (base["relations"][0] | change).items() if k != drop}])
 
-    six = [{"name": n, "size": z, "rotation": 15 * i} for i, (n, z) in enumerate(zip("desk chair rug plant shelf cup".split(), ["largest", "large", "medium", "medium", "large", "smallest"]))]
+    six = [box(n, z, 15 * i) for i, (n, z) in enumerate(zip("desk chair rug plant shelf cup".split(), ["largest", "large", "medium", "medium", "large", "smallest"]))]
     ways = [("chair", "in front of", "desk"), ("rug", "far from", "chair"), ("plant", "beside", "desk"), ("shelf", "behind", "desk"), ("cup", "on", "desk")]
-    room = but(description="A desk, a chair, a rug, a plant, a shelf and a cup.", objects=six, relations=[dict(zip(("subject", "relation", "reference"), w)) for w in ways])
-    many = [{"name": f"o{i}", "size": "medium", "rotation": 0} for i in range(10)]
+    room = but(description="A desk, a chair, a rug, a plant, a shelf and a cup.", objects=six, relations=[way(*w) for w in ways])
+    many = [box(f"o{i}", "medium", 0) for i in range(10)]
     texts = [
         but(),
         "```json\n" + but() + "\n```",

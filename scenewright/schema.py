@@ -33,8 +33,8 @@ class TaskPlan:
     def __post_init__(self):
         if self.generator_type not in KINDS:
             raise ValueError(f"unknown generator type {self.generator_type!r}")
-        if not 2 <= self.num_options <= 6:
-            raise ValueError("num_options must be between 2 and 6")
+        if self.num_options not in range(2, 7):
+            raise ValueError(f"a question has 2 to 6 options, not {self.num_options}")
         allowed = KINDS[self.generator_type]
         for name in allowed[0]:
             default = "with_reference" if name == "reference_mode" else None

@@ -60,7 +60,8 @@ def write_scene_metadata(scenes: DataFrame, folder: str) -> None:
 
 def task_info(plan: TaskPlan, requested: int, generated: int, folder: str) -> dict:
     """The description of a task set, also written to ``folder``/tasks_info.json."""
-    info = {"task_plan": plan.to_dict(), "generation_stats": {"num_tasks_requested": requested, "num_tasks_generated": generated, "output_directory": folder}}
+    stats = dict(num_tasks_requested=requested, num_tasks_generated=generated, output_directory=folder)
+    info = dict(task_plan=plan.to_dict(), generation_stats=stats)
     write_document(f"{folder}/tasks_info.json", info)
     return info
 
@@ -76,7 +77,9 @@ def write_hard_data(hard: DataFrame, seed: int, folder: str) -> int:
     n = hard.count()
     if n:
         hard.write.mode("overwrite").json(f"{folder}/hard_data/tasks")
-        write_document(f"{folder}/hard_data/tasks_info.json", {"task_plan": {"generator_type": "mixed", "num_options": 4, "seed": seed}, "generation_stats": {"num_tasks_requested": n, "num_tasks_generated": n, "output_directory": f"{folder}/hard_data"}})
+        stats = dict.fromkeys(("num_tasks_requested", "num_tasks_generated"), n) | {"output_directory": f"{folder}/hard_data"}
+        plan = dict(generator_type="mixed", num_options=4, seed=seed)
+        write_document(f"{folder}/hard_data/tasks_info.json", dict(task_plan=plan, generation_stats=stats))
     return n
 
 

@@ -31,16 +31,9 @@ def catalog_lines(extra: int = 0) -> str:
 
 
 def layouts() -> list[dict]:
-    first = {
-        "id": 0,
-        "description": "The [obj_1] is beside the [obj_0].",
-        "objects": [
-            {"name": "obj_0", "position": [0.0, 1.6, 0.0], "rotation": 0.0, "size": [1.6, 1.6, 1.6]},
-            {"name": "obj_1", "position": [4.0, 1.0, 1.0], "rotation": 90.0, "size": [1.0, 1.0, 1.0]},
-            {"name": "obj_2", "position": [0.2, 3.8, 0.1], "rotation": 0.0, "size": [0.6, 0.6, 0.6]},
-        ],
-        "relations": [{"subject": "obj_1", "relation": "beside", "reference": "obj_0"}],
-    }
+    box = lambda name, at, turn, half: dict(name=name, position=list(map(float, at)), rotation=float(turn), size=[half] * 3)
+    three = [box("obj_0", (0, 1.6, 0), 0, 1.6), box("obj_1", (4, 1, 1), 90, 1.0), box("obj_2", (0.2, 3.8, 0.1), 0, 0.6)]
+    first = dict(id=0, description="The [obj_1] is beside the [obj_0].", objects=three, relations=[dict(subject="obj_1", relation="beside", reference="obj_0")])
     rng = random.Random(3)
     made = [first]
     for i in range(1, 12):
