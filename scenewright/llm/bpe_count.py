@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import as_bytes, pick
+from .common import as_bytes, pick, small
 
 MARK = "▁"
 #: Words whose counts a worker keeps, twice over at most.
@@ -171,7 +171,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = counter(model_path)
-        for batch in batches:
+        for batch in small(batches):
             texts = as_bytes(batch.column(1))
             n = [made.count(t.decode("utf-8", "replace")) for t in texts]
             columns = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def small(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes, so that what is made of one at a time stays small; a longer text is alone."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Each text of a string column in UTF-8; null is empty."""
     raw, at = buffers(column)

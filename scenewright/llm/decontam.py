@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick
+from .common import as_bytes, pick, small
 
 #: Edits allowed for each byte of an item, as far as pieces of ``WIDE`` bytes (``NARROW`` in short items) remain.
 ERRORS = 0.06
@@ -184,7 +184,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     parts = blocks(spark, benchmark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [normalised(t) for t in as_bytes(batch.column(1))]
             hits: list[dict[int, int]] = [{} for _ in texts]
             for part in parts:
@@ -214,7 +214,7 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     k = docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [normalised(t) for t in as_bytes(batch.column(k))]
             keep = np.ones(len(texts), bool)
             for part in parts:

@@ -14,7 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, pick
+from .common import as_bytes, pick, small
 from .license_rules import Rule, rules
 
 #: The fixed phrases and their labels.
@@ -86,7 +86,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text). Null counts as empty: no words, no labels (empty strings), score 0."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [scan(t) for t in as_bytes(batch.column(1))]
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64()]
             values = [[",".join(v) if isinstance(v := r[k], list) else v for r in rows] for k in range(7)]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, as_bytes, fresh, pick
+from .common import Cut, as_bytes, fresh, pick, small
 from .components import connected_components
 
 #: Long enough that unrelated lines of one language share few.
@@ -167,7 +167,7 @@ def _send_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = bands([x.decode("utf-8", "replace") for x in lines])
         return pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(np.repeat(np.array(key, np.int64), BANDS))], ["band", "k"])
 
-    for batch in batches:
+    for batch in small(batches):
         for text in as_bytes(batch.column(0)):
             for line in split(text):
                 if line and (k := _keys(line)[0]) not in seen:
@@ -322,7 +322,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         row, number, k1, k2 = [], [], [], []
         for r, text in enumerate(as_bytes(batch.column(2))):
             for no, line in enumerate(split(text)):
@@ -354,7 +354,7 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(filter_.value, np.uint8)
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small(batches):
             lines = {}
             for text in as_bytes(batch.column(0)):
                 for line in split(text):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, pick
+from .common import buffers, pick, small
 
 #: Labelled documents of each class that are used for learning, at most; which ones, a hash of the id decides.
 SAMPLE = 3000
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     rows = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 x = features(*buffers(batch.column(0)))
                 yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["l_id", "quality", "x"])
@@ -163,7 +163,7 @@ def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """(doc_id, score) of every row, in one scan. A null text counts as empty; an empty text has the score of zero features."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             s = ranking.score(features(*buffers(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
 
@@ -178,7 +178,7 @@ def accept(docs: DataFrame, ranking: Ranking) -> DataFrame:
     k = docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(ranking.score(features(*buffers(batch.column(k)))) >= ACCEPT))
 
     return docs.mapInArrow(each, docs.schema)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, pick
+from .common import as_bytes, pick, small
 
 #: The fixed kinds in the order in which spans with one start are listed; learned ones come last.
 KINDS = ("assign", "access", "hex", "learned")
@@ -160,10 +160,10 @@ def likelihood(a: Automaton, texts: list[str]) -> np.ndarray:
     return _run(a, _CLASS[np.frombuffer(joined, np.uint8)], np.cumsum(size) - size, size)
 
 
-def _run(a: Automaton, kinds: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _run(a: Automaton, kinds: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Log-likelihoods of the runs of ``kinds`` at ``start``, all stepped together."""
-    order = np.argsort(-size, kind="stable")
-    start, left = start[order], size[order]
+    order = np.argsort(-length, kind="stable")
+    start, left = start[order], length[order]
     state, total = np.zeros(len(order), np.int32), np.zeros(len(order))
     for k in range(int(left[0]) if len(left) else 0):
         live = int(np.searchsorted(-left, -k))  # those longer than k come first
@@ -306,7 +306,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     automata = default_automata()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for spans, ratio in scan(as_bytes(batch.column(1)), automata):
                 base = [x for x in spans if x[1] < 3]

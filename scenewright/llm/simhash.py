@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, as_bytes, fresh, pick
+from .common import Cut, as_bytes, fresh, pick, small
 from .components import connected_components, union_find
 
 RADIUS = 6
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row of ``docs`` (doc_id, text): the fingerprint as a signed long. A null text has no words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             made = np.fromiter((fingerprint(t) for t in as_bytes(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, as_bytes, pick, scratch_path
+from .common import Cut, as_bytes, pick, scratch_path, small
 
 #: Bytes of records after which a frame is closed.
 FRAME = 1 << 20
@@ -150,7 +150,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least: in
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
         writer = None
-        for batch in batches:
+        for batch in small(batches):
             if not batch.num_rows:
                 continue
             if writer is None:
