@@ -1,11 +1,11 @@
 """Line dedup: fuzzy lines by MinHash, one line of each component stays.
 
 A line's signature is a one-permutation MinHash of its ``SHINGLE``-character shingles, cut into ``BANDS`` bands of
-``ROWS`` values. Lines that share a band are candidates; their exact Jaccard similarity is computed from the texts, and
+``ROWS`` values. Lines that share a band are candidates, but for those whose shingle bitmaps of 256 bits show that they can't be similar; their exact Jaccard similarity is computed from the texts, and
 links of at least ``THRESHOLD`` are joined by distributed union-find. With 10 bands of 3, a pair at 0.8 shares a band with
 a chance of 0.999.
 
-What is shuffled: 16 bytes for each band of a line that its task sees first; the texts of candidates only (a Bloom
+What is shuffled: 56 bytes for each band of a line that its task sees first; the texts of candidates only (a Bloom
 filter of the candidates' keys keeps the others back); and three numbers a line for the decisions. A line is known by two 64-bit
 hashes: both decide equality; links use the first, whose collisions (about n*n/2^65 of n lines) join two nodes.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Cut, as_bytes, fresh, pick, small
 from .components import connected_components
 
-#: Long enough that unrelated lines of one language share few.
-SHINGLE = 8
+#: Short enough that a line of 49 characters stays linked after one edit in its middle.
+SHINGLE = 5
 BANDS, ROWS = 10, 3
 THRESHOLD = 0.8
 BLOCK = 512
@@ -37,6 +37,7 @@ SEEN = 1 << 20
 #: Bits of the candidates' Bloom filter, at most: 32 MB.
 MAX_BITS = 1 << 28
 
+_BAND_NAMES = ["band", "k", "many", "b0", "b1", "b2", "b3"]
 _BLANKS = b" \t\n\x0b\x0c\r"
 _BINS = BANDS * ROWS
 _MUL = np.array(
@@ -103,19 +104,25 @@ def masks(lines: list[str]) -> list[tuple[int, int]]:
 
 def bands(lines: list[str]) -> np.ndarray:
     """``BANDS`` hashes of each line; rows that share one in the same place are candidates."""
+    return signatures(lines)[0]
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bands of each line, the bitmap of its shingles (four numbers) and how many it has, repeats included."""
     out = np.empty((len(lines), BANDS), np.int64)
+    bits, many = np.empty((len(lines), 4), np.int64), np.empty(len(lines), np.int64)
     k = 0
     while k < len(lines):
         end, total = k, 0
         while end < len(lines) and (end == k or total + len(lines[end]) < 1 << 16):  # what fits a core's cache
             total += len(lines[end]) + SHINGLE - 1
             end += 1
-        out[k:end] = _bands(lines[k:end])
+        out[k:end], bits[k:end], many[k:end] = _signatures(lines[k:end])
         k = end
-    return out
+    return out, bits, many
 
 
-def _bands(lines: list[str]) -> np.ndarray:
+def _signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = "\0" * (SHINGLE - 1)
     code = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(x) for x in lines], np.int64)
@@ -129,6 +136,9 @@ def _bands(lines: list[str]) -> np.ndarray:
     own = np.repeat(np.arange(len(lines)), many)
     at = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
     h = h[at]
+    held = np.zeros((len(lines), 256), bool)
+    held[own, (h & np.uint64(255)).astype(np.int64)] = True
+    bits = np.packbits(held, axis=1).view(np.int64)
     empty = np.uint64(1 << 33)
     sig = np.full(len(lines) * _BINS, empty)
     place = own * _BINS + (((h >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)).astype(np.int64)
@@ -146,7 +156,7 @@ def _bands(lines: list[str]) -> np.ndarray:
         for r in range(ROWS):
             x = _mix(x * _MUL[1] + dense[:, b * ROWS + r] * _MUL[0])
         made[:, b] = x
-    return made.view(np.int64)
+    return made.view(np.int64), bits, many
 
 
 def split(text: bytes) -> list[bytes]:
@@ -164,8 +174,9 @@ def _send_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, lines, size = [], [], 0
 
     def rows():
-        made = bands([x.decode("utf-8", "replace") for x in lines])
-        return pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(np.repeat(np.array(key, np.int64), BANDS))], ["band", "k"])
+        made, bits, many = signatures([x.decode("utf-8", "replace") for x in lines])
+        each = [np.array(key, np.int64), many, *bits.T]
+        return pa.RecordBatch.from_arrays([pa.array(made.ravel()), *(pa.array(np.repeat(x, BANDS)) for x in each)], _BAND_NAMES)
 
     for batch in small(batches):
         for text in as_bytes(batch.column(0)):
@@ -184,6 +195,56 @@ def _send_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def _partnered(band: np.ndarray, many: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which rows, in the order of band, have another of their band that they can be similar to by their bitmaps.
+
+    Of two sets with d different members the bitmaps differ in at most d bits, and sets that are similar enough differ in at most
+    (1 - t) / (1 + t) of the sum of their sizes: no similar pair is lost.
+    """
+    kept, share = np.zeros(len(band), bool), (1 - THRESHOLD) / (1 + THRESHOLD)
+    at = np.arange(len(band))
+    for lag in range(1, len(band)):
+        at = at[: np.searchsorted(at, len(band) - lag)]
+        at = at[band[at] == band[at + lag]]
+        if not len(at):
+            break
+        new = at[~(kept[at] & kept[at + lag])]
+        near = new[np.bitwise_count(bits[new] ^ bits[new + lag]).sum(1) <= share * (many[new] + many[new + lag]) + 1e-6]
+        kept[near] = kept[near + lag] = True
+    return kept
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, k), without repeats in a batch, of the lines with a possible partner in their bucket. Buckets of over eight blocks stay whole."""
+    rest, whole = np.zeros((0, 7), np.int64), None
+
+    def chosen(x):
+        if len(x) > 1:
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:, :2] != x[:-1, :2]).any(1)
+            x = x[new]
+        kept = _partnered(x[:, 0], x[:, 2], np.ascontiguousarray(x[:, 3:])) | (x[:, 0] == whole if whole is not None else False)
+        return pa.RecordBatch.from_arrays([pa.array(x[kept, 0]), pa.array(x[kept, 1])], _BAND_NAMES[:2])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
+        cut = int(np.searchsorted(x[:, 0], x[-1, 0]))  # the last bucket may go on
+        if len(x) - cut > 8 * BLOCK or x[-1, 0] == whole:
+            last = x[-1, 0]
+            if cut:
+                yield chosen(x[:cut])
+            whole, rest = last, x[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut:, 0]), pa.array(x[cut:, 1])], _BAND_NAMES[:2])
+        else:
+            rest = x[cut:]
+            if cut:
+                yield chosen(x[:cut])
+    if len(rest):
+        yield chosen(rest)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, block, k) for the lines of each bucket of two or more, from rows (band, k) in order.
 
@@ -342,8 +403,8 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cut = Cut(spark)
     texts = pick(docs, text="text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_send_bands, "band long, k long")
-    near = sent.repartition(parts, "band").sortWithinPartitions("band", "k").mapInArrow(_buckets, "g long, block int, k long")
+    sent = texts.mapInArrow(_send_bands, ", ".join(f"{c} long" for c in _BAND_NAMES))
+    near = sent.repartition(parts, "band").sortWithinPartitions("band", "k").mapInArrow(lambda b: _buckets(_likely(b)), "g long, block int, k long")
     members = cut(near.distinct(), "members")
     n = members.count()
     if not n:
