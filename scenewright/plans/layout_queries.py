@@ -178,4 +178,16 @@ def _fill(sp: SparkSession, d: str) -> DataFrame:
 QUERIES["placeholder_fill"] = _fill
 ORACLES["placeholder_fill"] = """SELECT conv_id, turn, replace(replace('The [obj_0] said at the [obj_1]: ' || substr(text, 1, 40) || ' [obj_0]', '[obj_0]', role), '[obj_1]', 'table') AS filled
     FROM conversations WHERE text IS NOT NULL"""
+
+
+def _fill_whole(sp: SparkSession, d: str) -> DataFrame:
+    """Like ``placeholder_fill``, of every turn with its whole text; null counts as empty."""
+    names = F.array(F.struct(F.lit("obj_0").alias("placeholder"), F.col("role").alias("name")), F.struct(F.lit("obj_1").alias("placeholder"), F.lit("table").alias("name")))
+    text = F.concat(F.lit("The [obj_0] said at the [obj_1]: "), F.coalesce("text", F.lit("")), F.lit(" [obj_0]"))
+    return table(sp, d, "conversations").select("conv_id", "turn", relations.fill_placeholders(text, names).alias("filled"))
+
+
+QUERIES["placeholder_fill_whole"] = _fill_whole
+ORACLES["placeholder_fill_whole"] = """SELECT conv_id, turn, replace(replace('The [obj_0] said at the [obj_1]: ' || coalesce(text, '') || ' [obj_0]', '[obj_0]', role), '[obj_1]', 'table') AS filled
+    FROM conversations"""
 QUERIES["solve_layouts"] = lambda sp, d: solver.solve_templates(_valid(sp).withColumnRenamed("id", "template_id"), 8, SEED)
