@@ -12,7 +12,7 @@ from ..functions import distractors, relations
 from ..operators import generators as g
 from ..operators import scenes as s
 from ..rng import order_key, order_key_sql, uniform_sql
-from .views import SEED, VIEWS_SQL, catalog, components, scene_objects, splits, splits_sql
+from .views import SEED, VIEWS_SQL, catalog, components, numbered, scene_objects, splits, splits_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -367,6 +367,24 @@ _add(
 )
 
 
+def _every_record(sp, d):
+    """Task records of every scene that has options, numbered by scene."""
+    made = numbered(_options(sp, d), "scene_id", "question_id")
+    number = F.col("question_id").cast("string")
+    point = F.concat(F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number), F.lit(".npy"))
+    return made.select("question_id", point.alias("point"), relations.category(F.lit("what_size"), F.lit(None).cast("string")).alias("category"), "question", F.array_join("options", "|").alias("options"), "answer")
+
+
+_add(
+    "task_records_all",
+    _every_record,
+    _OPTIONS_SQL
+    + """, l AS (SELECT *, row_number() OVER (ORDER BY scene_id) - 1 AS question_id FROM op)
+    SELECT question_id, CASE WHEN question_id < 1000000 THEN lpad(CAST(question_id AS VARCHAR), 6, '0') ELSE CAST(question_id AS VARCHAR) END || '.npy' AS point,
+           'what_size_' AS category, question, array_to_string(options, '|') AS options, answer FROM l""",
+)
+
+
 # geometry of layouts
 def _boxes(sp, d):
     """Scene objects shrunk to the scene's bounds, so that some overlap and some don't."""
