@@ -1,14 +1,15 @@
 """The ordered signature rules of the licence scan.
 
 A line is ``label | gate | pattern | pattern ...``. Patterns are regular expressions over normalised words: lower case,
-single spaces, no punctuation. A line's rules are looked at only in texts that hold its gate, a literal. Earlier rules
-go first: a detection inside that of an earlier rule is dropped. ``V`` stands for "version", "v", "ver" or nothing.
+single spaces, no punctuation. An alternative is looked at only in texts that hold its gate, a literal that all its matches
+hold: the line's one, or the alternative's own longest if it needn't hold that. Earlier rules go first: a detection inside that of an earlier rule is dropped. ``V`` stands for "version", "v", "ver" or nothing.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _constants, _parser  # what a pattern requires is read from its parsed form
 
 _RULES = r"""
 agpl-3.0-or-later | affero | (?:gnu )?affero general public license V3(?: 0)? or (?:any )?later(?: version)? | agpl V3(?: 0)? or later | spdx license identifier agpl 3 0 or later | affero general public license as published by the free software foundation either V3 of the license or at your option any later version
@@ -249,6 +250,17 @@ class Rule:
     pattern: re.Pattern[bytes]
 
 
+def required(pattern: str) -> list[str]:
+    """The literals, without the blanks at their ends, that every match of the pattern holds."""
+    runs = [""]
+    for kind, x in _parser.parse(pattern):
+        if kind is _constants.LITERAL:
+            runs[-1] += chr(x)
+        else:
+            runs.append("")
+    return [r.strip() for r in runs if r.strip()]
+
+
 def rules() -> list[Rule]:
     """The rules in their order, first the highest."""
     made = []
@@ -256,5 +268,7 @@ def rules() -> list[Rule]:
         label, gate, *patterns = [x.strip() for x in line.split(" | ")]
         for p in patterns:
             p = p.replace(" V", " (?:version |ver |v ?)?").replace("?V", "?(?:version |ver |v ?)?")
-            made.append(Rule(len(made), label, gate.encode(), re.compile(rf"\b(?:{p})\b".encode())))
+            held = required(p)
+            own = gate if any(gate in r for r in held) else max(held, key=len)
+            made.append(Rule(len(made), label, own.encode(), re.compile(rf"\b(?:{p})\b".encode())))
     return made
