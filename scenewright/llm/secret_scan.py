@@ -39,6 +39,9 @@ LEAST_RATIO = 10.0
 #: ... and its mean log-likelihood a character isn't under the least of the labelled ones by more than this.
 SLACK = 0.15
 
+#: Longest part of a run that is scored by itself, twice the longest labelled credential; whole runs have no bound.
+LONGEST_PART = 284
+
 _SYMBOLS = 12
 
 
@@ -63,6 +66,8 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 _IS_RUN = _CLASS != 255
+#: What may glue a credential to something else.
+_IS_GLUE = np.isin(np.arange(256), np.frombuffer(b"=/.-_", np.uint8))
 _IS_HEX = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
 
 
@@ -175,6 +180,32 @@ def _run(a: Automaton, kinds: np.ndarray, start: np.ndarray, length: np.ndarray)
     return out
 
 
+def _parts(a: Automaton, kinds: np.ndarray, glue: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, log-likelihood) of the parts that ``a`` accepts, from the starts to any glue or the run's end. A start ends in the sink."""
+    sink = len(a.step) - 1
+    at, end, state, total = start, stop, np.zeros(len(start), np.int32), np.zeros(len(start))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(LONGEST_PART):
+        c = kinds[at + k]
+        total = total + a.cost[state, c]
+        state = a.step[state, c]
+        live = state != sink
+        at, end, state, total = at[live], end[live], state[live], total[live]
+        if not len(at):
+            break
+        over = at + k + 1 == end
+        if k + 1 >= LEAST_RUN:
+            close = over.copy()
+            close[~over] = glue[at[~over] + k + 1]
+            like = total[close] + a.end[state[close]]
+            good = like / (k + 2) >= a.least - SLACK
+            found.append((at[close][good], at[close][good] + k + 1, like[good]))
+        at, end, state, total = at[~over], end[~over], state[~over], total[~over]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 _ALNUM = string.ascii_letters + string.digits
 
 
@@ -265,9 +296,25 @@ def scan(texts: list[bytes], automata: tuple[tuple[Automaton, ...], Automaton])
             for a in formats:
                 like = _run(a, kinds, start, size)
                 best = np.maximum(best, np.where(like / (size + 1) >= a.least - SLACK, like - usual, -np.inf))
-            for i in np.flatnonzero(best >= LEAST_RATIO).tolist():
-                d = int(np.searchsorted(first, start[i], "right")) - 1
-                chosen.setdefault(d, []).append((int(start[i] - first[d]), int(stop[i] - first[d]), float(best[i])))
+            ok = best >= LEAST_RATIO
+            spans_of = [(start[ok], stop[ok], best[ok])]
+            glue = _IS_GLUE[raw]
+            after = np.flatnonzero(glue[:-1] & _IS_RUN[raw[1:]]) + 1
+            own = np.searchsorted(start, np.concatenate([start, after]), "right") - 1
+            heads = np.concatenate([start, after])
+            inside = (own >= 0) & (stop[own] - heads >= LEAST_RUN)
+            heads, tails = heads[inside], stop[own[inside]]
+            for a in formats:
+                s, e, like = _parts(a, kinds, glue, heads, tails)
+                ratio = like - _run(plain, kinds, s, e - s)
+                spans_of.append((s[ratio >= LEAST_RATIO], e[ratio >= LEAST_RATIO], ratio[ratio >= LEAST_RATIO]))
+            taken: dict[int, list[tuple[int, int]]] = {}
+            for s, e, r in sorted(zip(*(np.concatenate(x).tolist() for x in zip(*spans_of))), key=lambda x: (-x[2], x[0], -x[1])):
+                held = taken.setdefault(int(np.searchsorted(start, s, "right")), [])  # the best of a run that don't overlap
+                if not any(x < e and s < y for x, y in held):
+                    held.append((s, e))
+                    d = int(np.searchsorted(first, s, "right")) - 1
+                    chosen.setdefault(d, []).append((int(s - first[d]), int(e - first[d]), float(r)))
         hexes = set((np.searchsorted(first, _runs(_IS_HEX[raw], 24)[0], "right") - 1).tolist())
         lower = whole.lower()
         keyed = any(w in lower for w in _WORDS)
