@@ -70,6 +70,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(df: DataFrame, growth: float = 1.0, bytes_: int = 128 << 20) -> int:
+    """Shuffle partitions for a table that is ``growth`` times ``df``: those that the session sets, or more where they would get over ``bytes_``.
+
+    The size of ``df`` is the optimiser's, read from file sizes; without one the session's setting stands.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(int(size * growth / bytes_) + 1, 1 << 16)) if size < 1 << 60 else least
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n+1 offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

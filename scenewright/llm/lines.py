@@ -1,21 +1,25 @@
 """Line dedup: fuzzy lines by MinHash, one line of each component stays.
 
 A line's signature is a one-permutation MinHash of its ``SHINGLE``-character shingles, cut into ``BANDS`` bands of
-``ROWS`` values. Lines that share a band are candidates, but for those whose shingle bitmaps of 256 bits show that they can't be similar; their exact Jaccard similarity is computed from the texts, and
-links of at least ``THRESHOLD`` are joined by distributed union-find. With 10 bands of 3, a pair at 0.8 shares a band with
-a chance of 0.999.
+``ROWS`` values; a bin without a shingle takes the value of another, chosen by its number. Lines that share a band are
+candidates. With 18 bands of 8 a pair at 0.8 shares a band with a chance of 0.96 and one at 0.85 of 0.997, while unrelated
+lines of one language, at 0.1, do so with one of 2 in 10 million. Candidates are compared by exact Jaccard similarity, and links
+of at least ``THRESHOLD`` are joined by distributed union-find.
 
-What is shuffled: 56 bytes for each band of a line that its task sees first; the texts of candidates only (a Bloom
-filter of the candidates' keys keeps the others back); and three numbers a line for the decisions. A line is known by two 64-bit
-hashes: both decide equality; links use the first, whose collisions (about n*n/2^65 of n lines) join two nodes.
+No bucket is expanded into pairs, and none is held by one task:
 
-Buckets are read as sorted streams, repeats skipped. One of over ``BLOCK`` lines is cut into blocks whose pairs are
-separate groups, so no task holds more than two blocks of it. A pair that is connected already isn't compared.
+1. Buckets are read as sorted streams. The first line of a bucket is its leader; every other line is compared with the leader
+   only, in parts of ``BLOCK`` lines that each get the leader's text. Copies of a template mostly become one component here.
+2. What is left are lines of buckets of three or more that aren't in their leader's component. They are compared with the bucket's lines
+   of other components, part by part. So every two lines that share a band are in one component, or have been compared.
+
+What is shuffled: 16 bytes for each band of a line that its task sees first; the texts of candidates only (a Bloom filter of
+their keys, in slices that are each made in one task, keeps the others back); and the places of lines for the decisions. A line is known by
+two 64-bit hashes: both decide equality; links use the first, whose collisions (about n*n/2^65 of n lines) join two nodes.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,26 +28,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, as_bytes, fresh, pick, small
+from .bloom import key_filter
+from .common import Cut, as_bytes, fresh, partitions, pick, small
 from .components import connected_components
 
 #: Short enough that a line of 49 characters stays linked after one edit in its middle.
 SHINGLE = 5
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 18, 8
 THRESHOLD = 0.8
-BLOCK = 512
+#: Lines of a bucket that are compared in one group.
+BLOCK = 4096
 #: Keys a task remembers as sent.
 SEEN = 1 << 20
-#: Bits of the candidates' Bloom filter, at most: 32 MB.
-MAX_BITS = 1 << 28
 
-_BAND_NAMES = ["band", "k", "many", "b0", "b1", "b2", "b3"]
 _BLANKS = b" \t\n\x0b\x0c\r"
 _BINS = BANDS * ROWS
+_EMPTY = np.uint64(1 << 33)
 _MUL = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB],
     np.uint64,
 )
+#: Where an empty bin looks for a value, try after try; the last tries visit all bins in turn.
+_TRIES = np.stack([*(np.random.default_rng(5 + t).integers(0, _BINS, _BINS) for t in range(40)), *((np.arange(_BINS) + t) % _BINS for t in range(1, _BINS))])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,73 +62,59 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def similar(a: tuple[int, int], b: tuple[int, int]) -> bool:
-    """Whether two sets, as bit masks with their sizes, have a Jaccard similarity of ``THRESHOLD`` or more."""
-    small, large = (a[1], b[1]) if a[1] < b[1] else (b[1], a[1])
-    if small < THRESHOLD * large or not a[0] or not b[0]:
-        return False
-    both = (a[0] & b[0]).bit_count()
-    return both >= THRESHOLD * (small + large - both)
-
-
-def masks(lines: list[str]) -> list[tuple[int, int]]:
-    """The shingle sets of a group's lines as bit masks over the shingles of the group, with their sizes.
-
-    Of at most 256 different characters a shingle is one 64-bit number. A line shorter than a shingle has a mask of no
-    bits and size 1: it is like no other line.
-    """
-    long = [x for x in lines if len(x) >= SHINGLE]
-    made: list[tuple[int, int]] = []
-    if long:
-        code = np.frombuffer("".join(long).encode("utf-32-le", "surrogatepass"), np.uint32)
-        alphabet = None
-        if code.max() > 255:
-            alphabet, code = np.unique(code, return_inverse=True)
-        if alphabet is not None and len(alphabet) > 256:
-            number: dict[str, int] = {}
-            places = [np.array([number.setdefault(x, len(number)) for x in shingles(line)]) for line in long]
-            total = len(number)
+class Line:
+    """A line with its set of shingles as sorted numbers, if no character is beyond 12 bits; else only the text."""
+
+    __slots__ = ("packed", "size", "text")
+
+    def __init__(self, text: str):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.text, self.packed = text, None
+        if len(code) and code.max() < 4096:
+            n = max(1, len(code) - SHINGLE + 1)
+            h = np.zeros(n, np.uint64)
+            for i in range(min(SHINGLE, len(code))):
+                h |= code[i : i + n] << np.uint64(12 * i)
+            if len(code) < SHINGLE:  # a shorter line has one shingle, marked by its length
+                h |= np.uint64(len(code) << 60)
+            self.packed = np.unique(h)
+        self.size = len(shingles(text)) if self.packed is None else len(self.packed)
+
+    def similar(self, other: Line) -> bool:
+        """Whether the two sets have a Jaccard similarity of ``THRESHOLD`` or more, exactly."""
+        low, high = (self.size, other.size) if self.size < other.size else (other.size, self.size)
+        if low < THRESHOLD * high:
+            return False
+        if self.packed is None or other.packed is None:
+            both = len(shingles(self.text) & shingles(other.text))
         else:
-            code = code.astype(np.uint64)
-            h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
-            for i in range(SHINGLE):
-                h |= code[i : i + len(h)] << np.uint64(8 * i)
-            end = np.cumsum([len(x) for x in long])
-            spans = [(e - len(x), e - SHINGLE + 1) for x, e in zip(long, end.tolist())]
-            values, at = np.unique(np.concatenate([h[a:b] for a, b in spans]), return_inverse=True)
-            places = np.split(at, np.cumsum([b - a for a, b in spans])[:-1])
-            total = len(values)
-        row = np.zeros(total, bool)
-        for p in places:
-            row[p] = True
-            packed = np.packbits(row, bitorder="little").tobytes()
-            made.append((int.from_bytes(packed, "little"), int(np.count_nonzero(row))))
-            row[p] = False
-    rest = iter(made)
-    return [next(rest) if len(x) >= SHINGLE else (0, 1) for x in lines]
+            both = len(np.intersect1d(self.packed, other.packed, assume_unique=True))
+        return both >= THRESHOLD * (low + high - both)
 
 
 def bands(lines: list[str]) -> np.ndarray:
     """``BANDS`` hashes of each line; rows that share one in the same place are candidates."""
-    return signatures(lines)[0]
+    out = np.empty((len(lines), BANDS), np.int64)
+    for a, b in _parts(lines):
+        h, own = _hashes(lines[a:b])
+        out[a:b] = _bands(h, own, b - a)
+    return out
 
 
-def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bands of each line, the bitmap of its shingles (four numbers) and how many it has, repeats included."""
-    out = np.empty((len(lines), BANDS), np.int64)
-    bits, many = np.empty((len(lines), 4), np.int64), np.empty(len(lines), np.int64)
+def _parts(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of lines that fit a core's cache."""
     k = 0
     while k < len(lines):
         end, total = k, 0
-        while end < len(lines) and (end == k or total + len(lines[end]) < 1 << 16):  # what fits a core's cache
+        while end < len(lines) and (end == k or total + len(lines[end]) < 1 << 16):
             total += len(lines[end]) + SHINGLE - 1
             end += 1
-        out[k:end], bits[k:end], many[k:end] = _signatures(lines[k:end])
+        yield k, end
         k = end
-    return out, bits, many
 
 
-def _signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of the lines, and which line each is of."""
     gap = "\0" * (SHINGLE - 1)
     code = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(x) for x in lines], np.int64)
@@ -135,28 +127,35 @@ def _signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = np.cumsum(size + SHINGLE - 1) - size - SHINGLE + 1
     own = np.repeat(np.arange(len(lines)), many)
     at = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
-    h = h[at]
-    held = np.zeros((len(lines), 256), bool)
-    held[own, (h & np.uint64(255)).astype(np.int64)] = True
-    bits = np.packbits(held, axis=1).view(np.int64)
-    empty = np.uint64(1 << 33)
-    sig = np.full(len(lines) * _BINS, empty)
+    return h[at], own
+
+
+def _bands(h: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    sig = np.full(n * _BINS, _EMPTY)
     place = own * _BINS + (((h >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(sig, place, h & np.uint64(0xFFFFFFFF))
-    sig = sig.reshape(-1, _BINS)
     dense = sig.copy()
-    last, away = np.full(len(lines), empty), np.zeros(len(lines), np.uint64)
-    for c in [*range(_BINS - 1, -1, -1)] * 2:  # an empty bin takes the next full one's value, marked by the distance
-        full = sig[:, c] != empty
-        last, away = np.where(full, sig[:, c], last), np.where(full, np.uint64(0), away + np.uint64(1))
-        dense[:, c] = last + (away << np.uint64(34))
-    made = np.empty((len(lines), BANDS), np.uint64)
-    for b in range(BANDS):
-        x = np.full(len(lines), b + 1, np.uint64)
-        for r in range(ROWS):
-            x = _mix(x * _MUL[1] + dense[:, b * ROWS + r] * _MUL[0])
-        made[:, b] = x
-    return made.view(np.int64), bits, many
+    open_ = np.flatnonzero(sig == _EMPTY)
+    for where in _TRIES:
+        if not len(open_):
+            break
+        line, own_bin = np.divmod(open_, _BINS)
+        value = sig[line * _BINS + where[own_bin]]
+        dense[open_] = value
+        open_ = open_[value == _EMPTY]
+    mixed = _mix(dense.reshape(n, BANDS, ROWS) * _MUL[0] + _MUL[:ROWS])
+    return _mix(mixed.sum(2) + np.arange(1, BANDS + 1, dtype=np.uint64) * _MUL[1]).view(np.int64)
+
+
+def bitmaps(lines: list[str]) -> np.ndarray:
+    """256 bits a line, four numbers, in which its shingles' hashes are set: the bitmaps of two lines differ in at most as many bits as their sets have different members."""
+    out = np.empty((len(lines), 4), np.uint64)
+    for a, b in _parts(lines):
+        h, own = _hashes(lines[a:b])
+        held = np.zeros((b - a, 256), bool)
+        held[own, (h & np.uint64(255)).astype(np.int64)] = True
+        out[a:b] = np.packbits(held, axis=1).view(np.uint64)
+    return out
 
 
 def split(text: bytes) -> list[bytes]:
@@ -170,13 +169,13 @@ def _keys(line: bytes) -> tuple[int, int]:
 
 
 def _send_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, k) for each band of each line that this task hasn't seen lately."""
     seen: set[int] = set()
     key, lines, size = [], [], 0
 
     def rows():
-        made, bits, many = signatures([x.decode("utf-8", "replace") for x in lines])
-        each = [np.array(key, np.int64), many, *bits.T]
-        return pa.RecordBatch.from_arrays([pa.array(made.ravel()), *(pa.array(np.repeat(x, BANDS)) for x in each)], _BAND_NAMES)
+        made = bands([x.decode("utf-8", "replace") for x in lines])
+        return pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(np.repeat(np.array(key, np.int64), BANDS))], ["band", "k"])
 
     for batch in small(batches):
         for text in as_bytes(batch.column(0)):
@@ -188,201 +187,159 @@ def _send_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key.append(k)
                     lines.append(line)
                     size += len(line)
-            if size > 1 << 22:
+            if size > 1 << 20:
                 yield rows()
                 key, lines, size = [], [], 0
     if key:
         yield rows()
 
 
-def _partnered(band: np.ndarray, many: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which rows, in the order of band, have another of their band that they can be similar to by their bitmaps.
-
-    Of two sets with d different members the bitmaps differ in at most d bits, and sets that are similar enough differ in at most
-    (1 - t) / (1 + t) of the sum of their sizes: no similar pair is lost.
-    """
-    kept, share = np.zeros(len(band), bool), (1 - THRESHOLD) / (1 + THRESHOLD)
-    at = np.arange(len(band))
-    for lag in range(1, len(band)):
-        at = at[: np.searchsorted(at, len(band) - lag)]
-        at = at[band[at] == band[at + lag]]
-        if not len(at):
-            break
-        new = at[~(kept[at] & kept[at + lag])]
-        near = new[np.bitwise_count(bits[new] ^ bits[new + lag]).sum(1) <= share * (many[new] + many[new + lag]) + 1e-6]
-        kept[near] = kept[near + lag] = True
-    return kept
-
-
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, k), without repeats in a batch, of the lines with a possible partner in their bucket. Buckets of over eight blocks stay whole."""
-    rest, whole = np.zeros((0, 7), np.int64), None
-
-    def chosen(x):
-        if len(x) > 1:
-            new = np.ones(len(x), bool)
-            new[1:] = (x[1:, :2] != x[:-1, :2]).any(1)
-            x = x[new]
-        kept = _partnered(x[:, 0], x[:, 2], np.ascontiguousarray(x[:, 3:])) | (x[:, 0] == whole if whole is not None else False)
-        return pa.RecordBatch.from_arrays([pa.array(x[kept, 0]), pa.array(x[kept, 1])], _BAND_NAMES[:2])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
-        cut = int(np.searchsorted(x[:, 0], x[-1, 0]))  # the last bucket may go on
-        if len(x) - cut > 8 * BLOCK or x[-1, 0] == whole:
-            last = x[-1, 0]
-            if cut:
-                yield chosen(x[:cut])
-            whole, rest = last, x[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut:, 0]), pa.array(x[cut:, 1])], _BAND_NAMES[:2])
-        else:
-            rest = x[cut:]
-            if cut:
-                yield chosen(x[:cut])
-    if len(rest):
-        yield chosen(rest)
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, block, k) for the lines of each bucket of two or more, from rows (band, k) in order.
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, part, k) for the lines of each bucket of two or more, from rows (band, k) in order: lead is the bucket's first line.
 
-    g is a hash of the bucket's lines, so that bands with the same lines give the same group; block is 0 for a bucket of up to
-    ``BLOCK`` lines, else 1, 2 and so on, and g the band.
+    A part has up to ``BLOCK`` lines, and the leader is in each. Nothing is held but the last row's bucket, leader and place.
     """
-    band, held, block, last = None, [], 0, None
-    out: list[tuple[np.ndarray, int, np.ndarray]] = []
+    band = lead = last = None
     size = 0
-
-    def close():
-        nonlocal size
-        k = np.concatenate(held) if held else np.zeros(0, np.int64)
-        if block or len(k) > 1:
-            g = np.int64(band) if block else _mix(_mix(k.view(np.uint64)).sum(keepdims=True)).view(np.int64)[0]
-            out.append((np.full(len(k), g, np.int64), block + 1 if block else 0, k))
-            size += len(k)
-
-    def rows():
-        g, b, k = np.concatenate([o[0] for o in out]), np.concatenate([np.full(len(o[0]), o[1], np.int32) for o in out]), np.concatenate([o[2] for o in out])
-        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(b), pa.array(k)], ["g", "block", "k"])
-
     for batch in batches:
         b, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(b):
             continue
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
-        new[0] = last != (int(b[0]), int(k[0]))
+        new[0] = (int(b[0]), int(k[0])) != last
         last = int(b[-1]), int(k[-1])
         b, k = b[new], k[new]
         if not len(b):
             continue
-        edge = np.flatnonzero(b[1:] != b[:-1]) + 1
-        start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(b)]])
-        need = stop - start > 1
-        need[0] = need[-1] = True  # they may go on in the batch before or after
-        for s, e in zip(start[need].tolist(), stop[need].tolist()):
-            if b[s] != band:
-                if held or block:
-                    close()
-                band, held, block = b[s], [], 0
-            held.append(k[s:e])
-            while sum(map(len, held)) > BLOCK:
-                every = np.concatenate(held)
-                block += 1
-                out.append((np.full(BLOCK, band, np.int64), block, every[:BLOCK]))
-                size += BLOCK
-                held = [every[BLOCK:]]
-        if size > 1 << 16:
-            yield rows()
-            out, size = [], 0
-    if held or block:
-        close()
-    if out:
-        yield rows()
+        start = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1])
+        many = np.diff(np.concatenate([start, [len(b)]]))
+        first, ahead = k[start].copy(), np.zeros(len(start), np.int64)
+        if b[0] == band:
+            first[0], ahead[0] = lead, size
+        place = np.arange(len(b)) - np.repeat(start - ahead, many)
+        of = np.repeat(first, many)
+        band, lead, size = b[-1], first[-1], int(place[-1]) + 1
+        member = place > 0
+        opens = (place == 1) | (member & (place % BLOCK == 0))
+        part = place // BLOCK
+        leads, parts = np.concatenate([of[member], of[opens]]), np.concatenate([part[member], part[opens]])
+        yield pa.RecordBatch.from_arrays([pa.array(leads), pa.array(parts.astype(np.int32)), pa.array(np.concatenate([k[member], of[opens]]))], ["lead", "part", "k"])
 
 
-def _positions(k: np.ndarray, bits: int) -> np.ndarray:
-    x = k.view(np.uint64)
-    return np.stack([_mix(x * _MUL[i]) % np.uint64(bits) for i in range(3)]).astype(np.int64)
+_EDGE = ["a", "b"]
 
 
-def _either(a: bytes, b: bytes) -> bytes:
-    return zlib.compress(np.frombuffer(zlib.decompress(a), np.uint8) | np.frombuffer(zlib.decompress(b), np.uint8), 1)
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGE)
 
 
-def _bloom(keys: DataFrame, bits: int) -> bytes:
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
-        for batch in batches:
-            own[_positions(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(own, bitorder="little"), 1)])], ["own"])
-
-    parts = keys.coalesce(keys.sparkSession.sparkContext.defaultParallelism).mapInArrow(fill, "own binary").rdd.map(lambda r: bytes(r[0]))
-    return zlib.decompress(parts.treeReduce(_either)) if parts.getNumPartitions() else bytes(bits // 8)
-
-
-class _Groups:
-    """Union-find over the lines of a group, by exact comparison of those not yet connected."""
+def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between lines and their leader, from rows (lead, part, other, k, line) in order: the leader comes first in each part."""
+    now, leader = None, None
+    for batch in small(batches):
+        found = []
+        for lead, part, k, line in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+            if k == lead:
+                if (lead, part) != now:
+                    now, leader = (lead, part), Line(line)
+            elif (lead, part) == now and leader.similar(Line(line)):
+                found.append((k, lead))
+        yield _edges(found)
 
-    def __init__(self):
-        self.edges: list[tuple[int, int]] = []
 
-    def within(self, lines: list[tuple[int, tuple[int, int]]], joined: list[list[tuple[int, tuple[int, int]]]] | None = None, against: bool = False) -> None:
-        parts = joined or []
-        for k, s in lines:
-            hit = [p for p in parts if any(similar(s, t) for _, t in p)]
-            for p in hit:
-                self.edges.append((k, p[0][0]))
-            if len(hit) == 1:
-                hit[0].append((k, s)) if not against else None
-            elif hit:
-                kept = [p for p in parts if not any(p is h for h in hit)]
-                parts = [*kept, [x for p in hit for x in p] + ([] if against else [(k, s)])]
-            elif not against:
-                parts.append([(k, s)])
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between the lines of two parts that are in different components, from rows (lead, i, j, side, k, root, line) in order.
 
-    def across(self, left: list[tuple[int, tuple[int, int]]], right: list[tuple[int, tuple[int, int]]]) -> None:
-        """Links between two blocks whose inner links others find."""
-        self.within(right, [[x] for x in left], against=True)
+    Side 0 has the lines of part i outside their leader's component, and side 1 all of part j.
+    """
+    now, left, right = None, [], []
+
+    def close() -> list[tuple[int, int]]:
+        if not left or not right:
+            return []
+        a, b = bitmaps([x[2] for x in left]), bitmaps([x[2] for x in right])
+        root = np.array([x[1] for x in right])
+        size = np.array([max(1, len(x[2]) - SHINGLE + 1) for x in right])
+        share, found, sets = (1 - THRESHOLD) / (1 + THRESHOLD), [], {}
+        for (k, r, line), bits in zip(left, a):
+            near = (root != r) & (np.bitwise_count(b ^ bits).sum(1) <= share * (size + max(1, len(line) - SHINGLE + 1)) + 1e-6)
+            at = np.flatnonzero(near).tolist()
+            if at:
+                own = Line(line)
+                for i in at:
+                    if i not in sets:
+                        sets[i] = Line(right[i][2])
+                    if own.similar(sets[i]):
+                        found.append((k, right[i][0]))
+        return found
 
+    for batch in batches:
+        found = []
+        for lead, i, j, side, k, root, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lead, i, j) != now:
+                found += close()
+                now, left, right = (lead, i, j), [], []
+            (right if side else left).append((k, root, line))
+        yield _edges(found)
+    yield _edges(close())
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) from rows (g, i, j, block, k, text) in the order of the first three."""
-    found, now, held = _Groups(), None, []
 
-    def close():
-        i, j = now[1:]
-        once = list(dict.fromkeys(held))
-        sets = masks([t for _, _, t in once])
-        part = lambda own: [(k, m) for (b, k, _), m in zip(once, sets) if b == own]
-        if i == j:
-            found.within(part(i))
-        else:
-            found.across(part(i), part(j))
+def line_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(node, root) for the keys of lines that are similar to another, different line."""
+    cut = Cut(spark)
+    texts = pick(docs, text="text")
+    parts = partitions(docs, 4)
+    near = texts.mapInArrow(_send_bands, "band long, k long").repartition(parts, "band").sortWithinPartitions("band", "k")
+    members = cut(near.mapInArrow(_leaders, "lead long, part int, k long").distinct(), "members")
+    wanted = cut(_texts(spark, texts, members.select("k")), "candidates")
+    rows = members.join(wanted, F.col("k") == F.col("c"))
+    group = rows.select("lead", "part", (F.col("k") != F.col("lead")).alias("other"), "k", "line")
+    edges = cut(group.repartition(parts, "lead", "part").sortWithinPartitions("lead", "part", "other").mapInArrow(_with_leader, "a long, b long"), "edges")
+    classes = connected_components(spark, edges)
+
+    # the lines of larger buckets that aren't in their leader's component
+    name = lambda c: classes.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))
+    placed = members.filter("k <> lead").join(name("k"), F.col("k") == F.col("k_node"), "left").join(name("lead"), F.col("lead") == F.col("lead_node"), "left")
+    placed = placed.select("lead", "part", "k", F.coalesce("k_root", "k").alias("root"), F.coalesce("lead_root", "lead").alias("own"))
+    open_ = placed.groupBy("lead").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("own")).alias("away")).filter("n > 1 and away > 0").select(F.col("lead").alias("o_lead"))
+    left = cut(placed.join(open_, F.col("lead") == F.col("o_lead"), "left_semi"), "open")
+    if left.isEmpty():
+        return classes
+    away = left.filter("root <> own")
+    i, j = away.select("lead", F.col("part").alias("i")).distinct(), left.select("lead", F.col("part").alias("j")).distinct()
+    sides = away.withColumnRenamed("part", "i").join(j, "lead").select("lead", "i", "j", F.lit(0).alias("side"), "k", "root")
+    sides = sides.unionByName(left.withColumnRenamed("part", "j").join(i, "lead").select("lead", "i", "j", F.lit(1).alias("side"), "k", "root"))
+    pairs = sides.join(wanted, F.col("k") == F.col("c")).select("lead", "i", "j", "side", "k", "root", "line")
+    more = pairs.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(_across, "a long, b long")
+    return connected_components(spark, edges.unionByName(more))
+
+
+def _texts(spark: SparkSession, texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(c, line) of the lines with these keys, and of the few others that the filter lets through."""
+    test = key_filter(spark, keys.select(F.col("k").alias("key")).distinct())
 
-    def rows():
-        a, b = zip(*found.edges)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in small(batches):
+            lines = {}
+            for text in as_bytes(batch.column(0)):
+                for line in split(text):
+                    if line and (k := _keys(line)[0]) not in seen:
+                        lines.setdefault(k, line)
+            own = np.fromiter(lines, np.int64, len(lines))
+            chosen = own[test(own)].tolist()
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.update(chosen)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), pa.array([lines[k].decode("utf-8", "replace") for k in chosen], pa.string())], ["c", "line"])
 
-    for batch in batches:
-        for g, i, j, b, k, t in zip(*(c.to_pylist() for c in batch.columns)):
-            if (g, i, j) != now:
-                if held:
-                    close()
-                now, held = (g, i, j), []
-            held.append((b, k, t))
-        if len(found.edges) > 1 << 18:
-            yield rows()
-            found.edges = []
-    if held:
-        close()
-    if found.edges:
-        yield rows()
+    return texts.mapInArrow(candidates, "c long, line string").dropDuplicates(["c", "line"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, x, no, k, k2) of each line that isn't blank."""
     for batch in small(batches):
         row, number, k1, k2 = [], [], [], []
         for r, text in enumerate(as_bytes(batch.column(2))):
@@ -398,94 +355,62 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["d", "x", "no", "k", "k2"])
 
 
-def line_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(node, root) for the keys of lines that are similar to another, different line."""
-    cut = Cut(spark)
-    texts = pick(docs, text="text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_send_bands, ", ".join(f"{c} long" for c in _BAND_NAMES))
-    near = sent.repartition(parts, "band").sortWithinPartitions("band", "k").mapInArrow(lambda b: _buckets(_likely(b)), "g long, block int, k long")
-    members = cut(near.distinct(), "members")
-    n = members.count()
-    if not n:
-        return connected_components(spark, members.select(F.col("k").alias("a"), F.col("k").alias("b")))
-    bits = 1 << min(max(16 * n, 1 << 12).bit_length(), MAX_BITS.bit_length() - 1)
-    filter_ = spark.sparkContext.broadcast(_bloom(members.select("k"), bits))
+def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        n = [sum(map(bool, split(t))) for t in as_bytes(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["d", "x", "n_lines"])
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(filter_.value, np.uint8)
-        seen: set[int] = set()
-        for batch in small(batches):
-            lines = {}
-            for text in as_bytes(batch.column(0)):
-                for line in split(text):
-                    if line and (k := _keys(line)[0]) not in seen:
-                        lines.setdefault(k, line)
-            keys = np.fromiter(lines, np.int64, len(lines))
-            at = _positions(keys, bits)
-            hit = ((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
-            chosen = keys[hit].tolist()
-            if len(seen) >= SEEN:
-                seen.clear()
-            seen.update(chosen)
-            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), pa.array([lines[k].decode("utf-8", "replace") for k in chosen], pa.string())], ["c", "line"])
 
-    # every line that is a member, once for each task that sees it; a group's repeats are dropped where it is verified
-    wanted = texts.mapInArrow(candidates, "c long, line string").dropDuplicates(["c", "line"])
-    rows = members.join(wanted, F.col("k") == F.col("c")).select("g", "block", "k", "line")
-    blocks = members.filter("block > 0").groupBy("g").agg(F.max("block").alias("blocks")).withColumnRenamed("g", "h")
-    hot = rows.filter("block > 0").join(blocks, F.col("g") == F.col("h")).withColumn("o", F.explode(F.sequence(F.lit(1), "blocks")))
-    hot = hot.select("g", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "k", "line")
-    cool = rows.filter("block = 0").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "block", "k", "line")
-    verify = lambda t: t.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "block").mapInArrow(_verify, "a long, b long")
-    edges = verify(cool)
-    if members.filter("block > 0").limit(1).count():
-        edges = edges.unionByName(verify(hot))
-    return connected_components(spark, cut(edges.distinct(), "edges"))
+def _own(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(d, x, text): id, a hash of the text, and the text; and the id's type."""
+    own = pick(docs, d="doc_id", text="text").select("d", F.xxhash64("text").alias("x"), "text")
+    return own, own.schema["d"].dataType.simpleString()
 
 
 def decisions(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(d, x, n_lines, gone) for each document with a line that isn't blank: its id, a hash of its text, and the numbers, from 0, of lines to drop.
+    """(d, x, gone) for each document that loses a line: its id, a hash of its text, and the sorted numbers, from 0, of the lines to drop.
 
     Of similar lines, joined by links, the one stays that comes first by doc_id (null last), then by text hash and line.
     Rows that repeat doc_id and text are one document here. Blank lines never count, and stay.
     """
-    own = pick(docs, d="doc_id", text="text").select("d", F.xxhash64("text").alias("x"), "text")
-    key = own.schema["d"].dataType.simpleString()
-    lines = own.mapInArrow(_occurrences, f"d {key}, x long, no int, k long, k2 long").distinct()
+    own, key = _own(docs)
+    cut = Cut(spark)
     classes = line_classes(spark, docs)
-    found = lines.join(classes, F.col("k") == F.col("node"), "left")
+    found = own.mapInArrow(_occurrences, f"d {key}, x long, no int, k long, k2 long").join(classes, F.col("k") == F.col("node"), "left")
     found = found.select("d", "x", "no", F.coalesce("root", "k").alias("c"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("c2"))
-    found = Cut(spark)(found, "lines")
+    found = cut(found, "lines")
     place = F.struct(F.col("d").isNull().alias("none"), "d", "x", "no")
+    # repeated rows are the same place: at worst a place is compared with itself
     first = found.groupBy("c", "c2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     first = first.select(F.col("c").alias("f"), F.col("c2").alias("f2"), "first")
-    joined = found.join(first, (F.col("c") == F.col("f")) & (F.col("c2") == F.col("f2")), "left")
-    gone = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(place), F.col("no"))
-    return joined.groupBy("d", "x").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(gone)).alias("gone"))
+    joined = found.join(first, (F.col("c") == F.col("f")) & (F.col("c2") == F.col("f2"))).filter(~F.col("first").eqNullSafe(place))
+    return joined.groupBy("d", "x").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 
 
 def line_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped) for each different (doc_id, text): lines that aren't blank, and those dropped, comma-joined numbers from 0."""
-    keys = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("hash")).distinct()
+    own, key = _own(docs)
+    counts = own.mapInArrow(_count_lines, f"d {key}, x long, n_lines long").distinct().select(F.col("d").alias("doc_id"), F.col("x").alias("hash"), "n_lines")
     found = decisions(spark, docs)
-    joined = keys.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("x")), "left")
+    joined = counts.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("x")), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    return joined.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), F.array_join(gone.cast("array<string>"), ",").alias("dropped"))
+    return joined.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_dropped"), F.array_join(gone.cast("array<string>"), ",").alias("dropped"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the dropped lines. A row that loses all its lines goes; others keep their columns but for ``text``, and ``n_chars`` where there is one."""
-    d, x, n, gone = fresh(docs, "line_doc", "line_hash", "line_count", "line_gone")
-    found = decisions(spark, docs).filter("size(gone) > 0").select(F.col("d").alias(d), F.col("x").alias(x), F.col("n_lines").alias(n), F.col("gone").alias(gone))
+    d, x, gone = fresh(docs, "line_doc", "line_hash", "line_gone")
+    found = decisions(spark, docs).select(F.col("d").alias(d), F.col("x").alias(x), F.col("gone").alias(gone))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(x)), "left")
-    lines = F.split(docs["text"], "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(gone), s["i"]))
+    lines, n = F.split(docs["text"], "\n"), F.size(gone)
+    # the stretches between dropped lines, so that the work is in proportion to the lines
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+    stretch = lambda i: F.slice(lines, begin(i) + 1, F.when(i == n, F.size(lines)).otherwise(F.get(gone, i)) - begin(i))
     same = F.col(gone).isNull()
-    new = F.when(same, docs["text"]).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    left = joined.filter(same | (F.size(gone) < F.col(n)))
+    new = F.when(same, docs["text"]).otherwise(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), stretch)), "\n"))
     rest = {"text": new}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         rest["n_chars"] = F.when(same, docs["n_chars"]).otherwise(F.char_length(new).cast(kind))
+    left = joined.filter(same | new.rlike(r"[^\x20\x09-\x0D]"))
     return left.select(*[rest[c].alias(c) if c in rest else docs[f"`{c}`"] for c in docs.columns])

@@ -1,19 +1,24 @@
 """Near lines of ordinary length are linked."""
 
+import os
 import random
+from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from scenewright.llm import lines
 
 from .helpers import frame
 
+DATA = os.environ.get("SCENEWRIGHT_DATA", "/root/testdata/sf0.001")
+
 
 def test_one_edit_in_a_line_of_sixty_characters_stays_linked(spark):
     a = "the river runs past the old mill and on to the grey sea wall"
     b = a[:30] + "#" + a[31:]
-    assert len(a) == 60 and lines.similar(*lines.masks([a, b]))
+    assert len(a) == 60 and lines.Line(a).similar(lines.Line(b))
     got = {r.doc_id: r.dropped for r in lines.line_report(spark, frame(spark, [(1, a, None, None, None), (2, b, None, None, None), (3, a.upper(), None, None, None)])).collect()}
     assert got == {1: "", 2: "0", 3: ""}
 
@@ -22,12 +27,39 @@ def test_bitmaps_keep_every_similar_pair():
     rng = random.Random(2)
     texts = ["".join(rng.choices("abcde ", k=rng.randint(1, 400))) for _ in range(60)]
     texts += [t[: (c := rng.randrange(len(t)))] + "#" * rng.randint(0, len(t) // 30 + 1) + t[c:] for t in texts]
-    made, bits, many = lines.signatures(texts)
-    sets = lines.masks(texts)
-    near = {x for i in range(len(texts)) for j in range(i) if lines.similar(sets[i], sets[j]) for x in (i, j)}
-    assert len(near) > 40 and near <= set(np.flatnonzero(lines._partnered(np.zeros(len(texts), np.int64), many, bits)).tolist())
-    order = np.argsort(made[:, 0], kind="stable")
-    rows = [pa.array(x[order]) for x in (made[:, 0], np.arange(len(texts)), many, *bits.T)]
-    batch = pa.RecordBatch.from_arrays(rows, lines._BAND_NAMES)
-    whole, *parts = [[r for b in lines._likely(iter(cut)) for r in zip(*(c.to_pylist() for c in b.columns))] for cut in ([batch], [batch.slice(i, 7) for i in range(0, len(texts), 7)])]
-    assert parts == [whole] and whole
+    bits, sets = lines.bitmaps(texts), [lines.shingles(t) for t in texts]
+    share, near = (1 - lines.THRESHOLD) / (1 + lines.THRESHOLD), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            differ = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            assert differ <= len(sets[i] ^ sets[j])
+            if len(sets[i] & sets[j]) >= lines.THRESHOLD * len(sets[i] | sets[j]):
+                near += 1
+                assert differ <= share * (len(sets[i]) + len(sets[j])) + 1e-6
+    assert near > 30
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
+def test_recall_on_real_lines_of_every_length():
+    """Of the pairs of real lines, and of real lines with one edit, that are similar, at least nine tenths share a band in each class of length."""
+    texts = pq.read_table(f"{DATA}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    real = sorted({x.decode() for t in texts if t for x in lines.split(t.encode()) if len(x) >= 20})
+    rng = random.Random(3)
+    by = defaultdict(list)
+    for line in real:
+        by[next(k for k, top in enumerate((60, 85, 200, 400, 10**9)) if len(line) < top)].append(line)
+    assert len(by) == 5
+    for k, own in by.items():
+        own = rng.sample(own, min(len(own), 400))
+        sets = [lines.shingles(x) for x in own]
+        pairs = [(own[i], own[j]) for i in range(len(own)) for j in range(i) if len(sets[i] & sets[j]) >= lines.THRESHOLD * len(sets[i] | sets[j])]
+        for line in own:
+            made = line
+            for _ in range(1 + len(line) // 100):
+                c = rng.randrange(len(made))
+                made = made[:c] + rng.choice(("", "#", "ab")) + made[c + 1 :]
+            if made != line and lines.Line(line).similar(lines.Line(made)):
+                pairs.append((line, made))
+        left, right = lines.bands([a for a, _ in pairs]), lines.bands([b for _, b in pairs])
+        hit = (left == right).any(1)
+        assert len(pairs) > 50 and hit.mean() >= 0.9, (k, len(pairs), hit.mean())
