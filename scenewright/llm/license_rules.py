@@ -270,5 +270,5 @@ def rules() -> list[Rule]:
             p = p.replace(" V", " (?:version |ver |v ?)?").replace("?V", "?(?:version |ver |v ?)?")
             held = required(p)
             own = gate if any(gate in r for r in held) else max(held, key=len)
-            made.append(Rule(len(made), label, own.encode(), re.compile(rf"\b(?:{p})\b".encode())))
+            made.append(Rule(len(made), label, own.encode(), re.compile(rf"(?<![^ ])(?:{p})(?![^ ])".encode())))
     return made

@@ -1,8 +1,9 @@
 """Licence scans: fixed phrases, and ordered signature rules gated by keywords.
 
 A text becomes its words (ASCII letters lower-cased, everything else in ASCII a break). A rule is tried only where its
-keyword is present. Detections are taken in rule order, and one whose interval lies inside that of an earlier rule's is
-suppressed, so "CC BY-NC 4.0" is that licence and not also CC BY-NC. Rows are independent: a scan has no shuffle.
+keyword is present, and matches whole words. Detections are taken in rule order, and one whose interval lies inside that of an earlier
+rule's, or shares a part with it, is suppressed: "CC BY-NC 4.0" is that licence and not also CC BY-NC. What is kept never overlaps, so a text's
+hits are resolved by binary search. Rows are independent: a scan has no shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -44,39 +46,44 @@ def words(text: bytes) -> list[bytes]:
 
 
 def detections(line: bytes, present: set[bytes]) -> list[tuple[int, int, str]]:
-    """(start, end, label) of the rules' matches in normalised words that no earlier rule's detection contains."""
-    kept: list[tuple[int, int, str]] = []
+    """(start, end, label), by start, of the rules' matches in normalised words that overlap no earlier rule's detection."""
+    start, end, of = (np.zeros(0, np.int64) for _ in range(3))
     for rule in _LABEL_RULES:
         if rule.gate in present:
-            for m in rule.pattern.finditer(line):
-                a, b = m.span()
-                if not any(s <= a and b <= e for s, e, _ in kept):
-                    kept.append((a, b, rule.label))
-    return kept
+            hits = np.array([m.span() for m in rule.pattern.finditer(line)], np.int64).reshape(-1, 2)
+            if not len(hits):
+                continue
+            before = np.searchsorted(start, hits[:, 1]) - 1  # the last kept one that starts before a hit's end
+            free = hits[(before < 0) | (end[before] <= hits[:, 0])] if len(start) else hits
+            at = np.searchsorted(start, free[:, 0])
+            start, end, of = np.insert(start, at, free[:, 0]), np.insert(end, at, free[:, 1]), np.insert(of, at, rule.order)
+    return [(a, b, _LABEL_RULES[r].label) for a, b, r in zip(start.tolist(), end.tolist(), of.tolist())]
 
 
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, list[str], list[str], float]:
     """Words, places of fixed phrases, their least and greatest start, base labels, all labels, score."""
     found = words(text)
-    n, first, last, base = 0, None, None, set()
     line = b" ".join(found)
     present = gates(line)
     if not present:
         return len(found), 0, None, None, [], [], 0.0
     padded = b" " + line + b" "
+    places: list[int] = []
+    base = set()
     for phrase, label in PHRASES.items():
         at = padded.find(b" " + phrase + b" ")
-        while at >= 0:
-            k = padded.count(b" ", 0, at)
-            n += 1
+        if at >= 0:
             base.add(label)
-            first, last = min(k, k if first is None else first), max(k, k if last is None else last)
+        while at >= 0:
+            places.append(at)
             at = padded.find(b" " + phrase + b" ", at + 1)
+    starts = np.searchsorted(np.flatnonzero(np.frombuffer(padded, np.uint8) == 0x20), places) if places else np.zeros(0, np.int64)
     rule_hits = detections(line, present)
     labels = base | {label for _, _, label in rule_hits}
     # certainty: how many words the detections name, one by one; weak notices count half
-    sure = sum((0.5 if label in ("no-warranty", "proprietary", "other-license") else 1) * (line.count(b" ", a, b) + 1) for a, b, label in rule_hits) + n
-    return len(found), n, first, last, sorted(base), sorted(labels), 1 - 0.7**sure
+    sure = sum((0.5 if label in ("no-warranty", "proprietary", "other-license") else 1) * (line.count(b" ", a, b) + 1) for a, b, label in rule_hits) + len(places)
+    first, last = (int(starts.min()), int(starts.max())) if places else (None, None)
+    return len(found), len(places), first, last, sorted(base), sorted(labels), 1 - 0.7**sure
 
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
