@@ -6,7 +6,8 @@ and its offset within the decompressed frame. One attempt of a task writes one b
 index, which is committed with the task, names it: an attempt that failed leaves a file that no index names, which
 ``sweep`` deletes.
 
-Of records with equal payloads one is a response and the others are revisits that refer to it and have no block.
+Of records with equal payloads one is a response and the others are revisits that refer to it and have no block. Rows that repeat the id
+and the payload of a response are counted by url before they are shuffled, so that a page said often is one row.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Cut, as_bytes, pick, scratch_path, small
@@ -30,6 +31,8 @@ from .common import Cut, as_bytes, pick, scratch_path, small
 #: Bytes of records after which a frame is closed.
 FRAME = 1 << 20
 LEVEL = 3
+#: Bytes of records that one task reads back.
+READ = 64 << 20
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _BREAK = b"\r\n"
 
@@ -38,15 +41,19 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def urn(page_id: int | str | None) -> str:
+    return f"<urn:page:{'' if page_id is None else quote(str(page_id), safe='')}>"
+
+
+def record(page_id: int | str | None, url: str | None, payload: bytes, refers_to: int | str | None, revisit: bool) -> bytes:
     """A WARC/1.1 record. A revisit has the payload's digest and length in its header, and no block."""
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="%/:?#[]@!$&'()*+,;=-._~"))
     head += ["WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>")
+        head.append(f"WARC-Refers-To: {urn(refers_to)}")
     else:
         head.append("Content-Type: text/html; charset=utf-8")
     block = b"" if revisit else payload
@@ -127,24 +134,39 @@ class BundleReader:
 
 
 def decisions(pages: DataFrame) -> DataFrame:
-    """(page_id, sha, first_id) once for each page that isn't the first of its payload: a null id is a later one than any."""
-    keys = pages.select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("sha")).distinct()
-    first = keys.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    return keys.join(first, "sha").filter("not page_id <=> first_id").select(F.col("page_id").alias("d_id"), F.col("sha").alias("d_sha"), "first_id")
+    """(d_id, d_sha, first_id, later, copies) once for each id and payload that occurs again: whether it comes after the payload's first, and how often it occurs.
+
+    The first has the smallest page_id; a null id comes after any.
+    """
+    keys = pages.select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("sha")).groupBy("page_id", "sha").agg(F.count("*").alias("copies"))
+    first = keys.groupBy(F.col("sha").alias("f_sha")).agg(F.min("page_id").alias("first_id"), F.sum("copies").alias("n")).filter("n > 1")
+    later = ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return keys.join(first, F.col("sha") == F.col("f_sha")).select(F.col("page_id").alias("d_id"), F.col("sha").alias("d_sha"), "first_id", later.alias("later"), "copies").filter("later or copies > 1")
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
-    """Write a record for each row of ``pages`` (page_id, url, html) below ``folder``, and return the index.
+    """Write a record for each row of ``pages`` (page_id, url, html) below ``folder``, and return the index. Ids are whole numbers or texts.
 
     The index has (page_id, bundle, frame, at, size). The response of equal payloads of ``least`` bytes or more is the
-    row with the smallest page_id; rows that repeat that id are responses too. A null html is an empty payload. An empty
-    table gives bundles without records, or none.
+    row with the smallest page_id, and of rows that repeat that id the one with the smallest url; the others are revisits of it. A null html is an
+    empty payload. An empty table gives bundles without records, or none.
     """
-    own = pick(pages, page_id="page_id", url="url", html="html").withColumns({"page_id": F.col("page_id").cast("long"), "html": F.coalesce("html", F.lit(""))})
+    own = pick(pages, page_id="page_id", url="url", html="html").withColumn("html", F.coalesce("html", F.lit("")))
+    if own.schema["page_id"].dataType.simpleString() != "string":
+        own = own.withColumn("page_id", F.col("page_id").cast("long"))
     later = decisions(own.filter(F.octet_length("html") >= least) if least else own)
     own = own.withColumn("sha", F.sha2(F.encode("html", "UTF-8"), 256))
     on = F.col("page_id").eqNullSafe(F.col("d_id")) & (F.col("sha") == F.col("d_sha"))
-    decided = own.join(later, on, "left").select("page_id", "url", "html", "first_id", F.col("d_sha").isNotNull().alias("revisit"))
+    joined = own.join(later, on, "left")
+    decided = joined.filter("later is null or later").select("page_id", "url", "html", "first_id", F.col("later").isNotNull().alias("revisit"))
+    # the response's own repeats: counted by url, with the payload once
+    again = joined.filter("not later").groupBy("page_id", "sha", "url").agg(F.count("*").alias("n"), F.first("html").alias("html"))
+    place = F.row_number().over(Window.partitionBy("page_id", "sha").orderBy(F.col("url").asc_nulls_last()))
+    spread = again.withColumn("place", place).select("page_id", "url", "html", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"), "place")
+    one = F.col("place") * F.col("copy") == 1
+    repeats = spread.select("page_id", "url", "html", F.when(~one, F.col("page_id")).alias("first_id"), (~one).alias("revisit"))
+    if not later.filter("not later").isEmpty():
+        decided = decided.unionByName(repeats)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -166,7 +188,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, least: in
         if writer is not None:
             writer.close()
 
-    return Cut(spark)(decided.mapInArrow(write, "page_id long, bundle string, frame int, at long, size long"), "index")
+    kind = own.schema["page_id"].dataType.simpleString()
+    return Cut(spark)(decided.mapInArrow(write, f"page_id {kind}, bundle string, frame int, at long, size long"), "index")
 
 
 def sweep(index: DataFrame, folder: str) -> int:
@@ -182,13 +205,16 @@ def sweep(index: DataFrame, folder: str) -> int:
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record that the index names, read from the bundles.
 
-    Only the frames with a named record are read. A response whose payload isn't what its header says raises ValueError.
+    Only the frames with a named record are read, some ``READ`` bytes of records by a task. A response whose payload isn't what its header says raises ValueError.
     """
 
+    kind = index.schema["page_id"].dataType.simpleString()
+    text = kind == "string"
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         bundle = reader = frame = data = None
-        number = lambda x: int(x[10:-1]) if len(x) > 11 else None
+        number = lambda x: (unquote(x[10:-1]) if text else int(x[10:-1])) if len(x) > 11 else None
         for batch in batches:
             rows = []
             for b, f, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -206,12 +232,14 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"the payload of {fields['WARC-Record-ID']} is damaged")
                 refers = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
                 rows.append((number(fields["WARC-Record-ID"]), size, want, kind, refers))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            own = pa.string() if text else pa.int64()
+            kinds = [own, pa.int64(), pa.string(), pa.string(), own]
             names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    ordered = index.select("bundle", "frame", "at").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
-    return ordered.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    total = index.agg(F.sum("size")).first()[0] or 0
+    ordered = index.select("bundle", "frame", "at").repartition(total // READ + 1, "bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
+    return ordered.mapInArrow(read, f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
