@@ -25,8 +25,10 @@ from .common import Cut, as_bytes, fresh, pick, small
 from .components import connected_components, union_find
 
 RADIUS = 6
-#: Fingerprints of a bucket that are compared in one task.
-BLOCK = 4096
+#: Fingerprints of a bucket that are compared in one group.
+BLOCK = 1 << 14
+#: Bytes of a row of a table, and what a shuffle partition should get.
+ROW_BYTES, PART_BYTES = 32, 128 << 20
 
 
 def _masks() -> np.ndarray:
@@ -56,15 +58,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row of ``docs`` (doc_id, text): the fingerprint as a signed long. A null text has no words."""
+    """(doc_id, h, fp) of each row of ``docs`` (doc_id, text): a hash of the text, and the fingerprint as a signed long. A null text has no words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            made = np.fromiter((fingerprint(t) for t in as_bytes(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            made = np.fromiter((fingerprint(t) for t in as_bytes(batch.column(2))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], ["doc_id", "h", "fp"])
 
-    own = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return own.mapInArrow(each, "doc_id long, fp long")
+    own = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return own.mapInArrow(each, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, h long, fp long")
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,17 +240,13 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found.rows()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n_near, component_id) for each row of ``docs`` (doc_id, text).
-
-    n_near: other rows at 6 or fewer differing bits, equal fingerprints included; component_id: the smallest doc_id
-    reachable by links. Texts without a word (null, empty, blank) have fingerprint zero and are linked like any others.
-    Rows with a null doc_id count as rows; a component of nothing else has a null id. Repeated rows are links of each
-    other. An empty table gives an empty result.
-    """
+def _classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of each row; and (g, n, more, root) of each fingerprint g: its rows, the rows of others linked to it, and its component."""
     cut = Cut(spark)
     printed = cut(fingerprints(docs), "fingerprints")
-    groups = cut(printed.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "groups")
+    groups = cut(printed.groupBy("fp").agg(F.count("*").alias("n")), "groups")
+    every = groups.count() * len(MASKS) * ROW_BYTES
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // PART_BYTES + 1)
 
     def with_n(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,8 +257,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*made.columns, pa.array(np.repeat(n[k : k + rows], len(MASKS)).astype(np.int32))], ["k", "t", "fp", "n"])
                 k += rows
 
-    spread = groups.select("fp", "n").repartition(spark.sparkContext.defaultParallelism * 2, "fp").mapInArrow(with_n, "k int, t short, fp long, n int")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = groups.select("fp", "n").repartition(max(spark.sparkContext.defaultParallelism * 2, every // PART_BYTES + 1), "fp").mapInArrow(with_n, "k int, t short, fp long, n int")
     sorted_ = spread.repartition(parts, "k", "t").sortWithinPartitions("t", "k").select("k", "t", "fp", F.col("n").cast("long").alias("n"))
     first = cut(sorted_.mapInArrow(_buckets, _OUT), "buckets")
     hot = first.filter(f"what = {_HOT}").select("k", "t", "block", F.col("a").alias("fp"), F.col("b").alias("n"))
@@ -271,17 +268,43 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = pairs.repartition(parts, "k", "t", "i", "j").sortWithinPartitions("k", "t", "i", "j", "block")
     second = pairs.mapInArrow(_block_pairs, _OUT)
     found = cut(first.filter(f"what <> {_HOT}").unionByName(second), "found")
-    near = found.filter(f"what = {_NEAR}").groupBy(F.col("a").alias("fp")).agg(F.sum("b").alias("more"))
+    near = found.filter(f"what = {_NEAR}").groupBy(F.col("a").alias("near_fp")).agg(F.sum("b").alias("more"))
     roots = connected_components(spark, found.filter(f"what = {_EDGE}").select("a", "b"))
-    classes = groups.join(roots, groups.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    named = named.join(near, "fp", "left").select(F.col("fp").alias("g"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), "component_id")
-    named = cut(named, "classes")
+    classes = groups.join(roots, groups.fp == roots.node, "left").join(near, groups.fp == near.near_fp, "left")
+    return printed, cut(classes.select(F.col("fp").alias("g"), "n", F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("root", "fp").alias("root")), "classes")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, n_near, component_id) for each row of ``docs`` (doc_id, text), whose ids may have any type that is ordered.
+
+    n_near: other rows at 6 or fewer differing bits, equal fingerprints included; component_id: the smallest doc_id
+    reachable by links. Texts without a word (null, empty, blank) have fingerprint zero and are linked like any others.
+    Rows with a null doc_id count as rows; a component of nothing else has a null id. Repeated rows are links of each
+    other. An empty table gives an empty result.
+    """
+    printed, classes = _classes(spark, docs)
+    rows = printed.join(classes, F.col("fp") == F.col("g"))
+    least = rows.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(least, F.col("root") == F.col("r")).select("g", (F.col("n") - 1 + F.col("more")).alias("n_near"), "component_id")
     return printed.join(named, F.col("fp") == F.col("g")).select("doc_id", "fp", "n_near", "component_id")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each component, all columns unchanged. Rows that repeat a doc_id stay or go together; those without one stay."""
-    (gone,) = fresh(docs, "near_gone")
-    dropped = near_duplicates(spark, docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col(gone), "left_anti")
+    """One row of each component, all columns unchanged: that with the smallest doc_id (null last), then the smallest text hash.
+
+    So a text never goes because of another with its id. Of rows that repeat both the id and the text one stays, whichever.
+    """
+    d, h, one = fresh(docs, "near_doc", "near_hash", "near_one")
+    printed, classes = _classes(spark, docs)
+    rows = printed.join(classes.select("g", "root"), F.col("fp") == F.col("g"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    rows = Cut(spark)(rows.groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies")), "rows")
+    first = rows.groupBy(F.col("root").alias("r")).agg(F.min(place).alias("first"))
+    marked = rows.join(first, F.col("root") == F.col("r")).withColumn("stays", F.col("first").eqNullSafe(place))
+    gone = marked.filter("not stays").select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    again = marked.filter("stays and copies > 1").select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    same = docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h))
+    kept = docs.join(gone.withColumn(one, F.lit(False)).unionByName(again.withColumn(one, F.lit(True))), same, "left")
+    plain = kept.filter(F.col(one).isNull()).select(*[docs[f"`{c}`"] for c in docs.columns])
+    rest = kept.filter(F.col(one)).dropDuplicates([d, h]).select(*[docs[f"`{c}`"] for c in docs.columns])
+    return plain.unionByName(rest) if not again.isEmpty() else plain

@@ -63,8 +63,30 @@ def test_simhash_links_equal_brute_force(spark):
     assert got == brute_near(rows)
     kept = simhash.keep_first(spark, df)
     assert kept.columns == df.columns
-    want = Counter(r[0] for r in got if r[0] is None or r[0] == r[3])
-    assert Counter(r.doc_id for r in kept.collect()) == want
+    assert Counter(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def brute_kept(rows):
+    """The ids of the one row of each component that stays."""
+    f = [simhash.fingerprint((t or "").encode()) for _, t, *_ in rows]
+    u, members = Union(len(rows)), defaultdict(list)
+    for i in range(len(rows)):
+        for j in range(i):
+            if (f[i] ^ f[j]).bit_count() <= simhash.RADIUS:
+                u.join(i, j)
+    for i, r in enumerate(rows):
+        members[u.find(i)].append(r[0])
+    return Counter(min((x for x in m if x is not None), default=None) for m in members.values())
+
+
+def test_no_text_goes_because_of_its_id(spark):
+    texts = ["alpha beta gamma delta " * 3, "other words stand in this one", "other words stand in this one", "zz top", "zz top", "zz top", "lone text without an id"]
+    rows = [(i, t, None, None, None) for i, t in zip((5, 3, 5, 7, 7, None, None), texts)]
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_first(spark, frame(spark, rows)).collect())
+    assert got == Counter([(5, texts[0]), (3, texts[1]), (7, texts[3]), (None, texts[6])])
+    named = spark.createDataFrame([("b", texts[1]), ("a", texts[2]), ("c", texts[0])], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, named).collect()} == {"a": "a", "b": "a", "c": "c"}
+    assert {r.doc_id for r in simhash.keep_first(spark, named).collect()} == {"a", "c"}
 
 
 def test_simhash_of_nothing(spark):
@@ -343,19 +365,20 @@ def test_mixing_reruns_agree_whatever_the_partitions(spark):
 def test_warc_round_trip(spark):
     rng = random.Random(2)
     html = ["<p>same</p>", "", None, "é" * 3000, "\r\n\r\nWARC/1.1\r\n"] + [prose(rng, 500) for _ in range(30)]
-    rows = [(i, rng.choice(["http://a/é b\r\nX: y", None, "http://b"]), html[i % len(html)]) for i in range(90)] + [(3, "http://twice", "<p>same</p>"), (None, None, "<p>same</p>"), (0, "u", "<p>same</p>")]
+    rows = [(i, rng.choice(["http://a/é b\r\nX: y", None, "http://b"]), html[i % len(html)]) for i in range(90)] + [(3, "http://twice", "<p>same</p>"), (None, None, "<p>same</p>"), (0, "u", "<p>same</p>"), (0, None, "<p>same</p>"), (0, "u", "<p>same</p>")]
     df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"), "sha", "first_id", "d_id", "bundle")
     got = warc.round_trip(spark, df).collect()
-    first = {}
+    by = defaultdict(list)
     for i, _, h in rows:
-        p = (h or "").encode()
-        first[p] = min(x for x in (first.get(p), i) if x is not None) if first.get(p) is not None or i is not None else None
+        by[(h or "").encode()].append(i)
     want = []
-    for i, _, h in rows:
-        p = (h or "").encode()
-        again = first[p] != i
-        want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if again else "response", first[p] if again else None))
+    for p, ids in by.items():
+        first, *rest = sorted(ids, key=lambda i: (i is None, i))
+        line = (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode())
+        want += [(first, *line, "response", None)] + [(i, *line, "revisit", first) for i in rest]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    named = spark.createDataFrame([("b/é", None, "x"), ("a>", None, "x"), ("a>", None, "x")], "page_id string, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark, named).collect()) == [("a>", "response", None), ("a>", "revisit", "a>"), ("b/é", "revisit", "a>")]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(spark, empty).count() == 0
 

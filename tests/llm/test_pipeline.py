@@ -70,11 +70,10 @@ def brute(spark, folder):
         for b in range(a):
             if (f[a] ^ f[b]).bit_count() <= simhash.RADIUS:
                 u.join(a, b)
-    least = {}
-    for k, r in enumerate(rows):
-        if r[0] is not None:
-            least[u.find(k)] = min(r[0], least.get(u.find(k), r[0]))
-    rows = [r for k, r in enumerate(rows) if r[0] is None or least[u.find(k)] == r[0]]
+    first = {}
+    for k, r in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
+        first.setdefault(u.find(k), k)
+    rows = [r for k, r in enumerate(rows) if first[u.find(k)] == k]
     norm = [decontam.normalised(t.encode()) for _, t in items]
 
     def leaked(t):
