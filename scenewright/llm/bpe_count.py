@@ -23,8 +23,9 @@ from sentencepiece import sentencepiece_model_pb2
 from .common import as_bytes, pick, small
 
 MARK = "▁"
-#: Words whose counts a worker keeps, twice over at most.
-KEPT = 400_000
+#: Words whose counts a worker keeps, twice over at most, and the longest that it keeps: 64 characters, so that the tables stay under some 200 MB.
+KEPT = 200_000
+LONGEST = 64
 LIMIT = 4096
 
 
@@ -39,6 +40,8 @@ class Kept(dict):
         n = self.old.get(word)
         if n is None:
             n = self.make(word)
+            if len(word) > LONGEST:  # seldom said again, and of any size
+                return n
         if len(self) >= KEPT:
             self.old = dict(self)
             self.clear()
@@ -102,19 +105,18 @@ _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Counter:
-    """The token counts of whole texts as a model file of the library gives them."""
+    """The token counts of whole texts as the library gives them with a model file of this content."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         model = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        model.ParseFromString(data)
         norm, train = model.normalizer_spec, model.trainer_spec
         if train.model_type != 2 or not train.byte_fallback or train.treat_whitespace_as_suffix:
             raise ValueError("a pair-merging model with byte fallback is needed")
         #: None where the model changes no character; its normaliser is the library's otherwise.
         self.normalise = None
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
-            made = sentencepiece.SentencePieceNormalizer(model_file=path)
+            made = sentencepiece.SentencePieceNormalizer(model_proto=data)
             self.normalise = made.normalize
         self.dummy = norm.add_dummy_prefix
         kinds = {1, 4, 5}  # normal, user-defined and unused pieces
@@ -162,15 +164,20 @@ class Counter:
 
 
 @lru_cache(maxsize=4)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(data: bytes) -> Counter:
+    return Counter(data)
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs`` (doc_id, text); null counts as empty, with no bytes and tokens."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs`` (doc_id, text); null counts as empty, with no bytes and tokens.
+
+    The model file, of about a megabyte, is read by the driver and sent to the workers.
+    """
+    with open(model_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = counter(model_path)
+        made = counter(shared.value)
         for batch in small(batches):
             texts = as_bytes(batch.column(1))
             n = [made.count(t.decode("utf-8", "replace")) for t in texts]
