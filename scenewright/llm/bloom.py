@@ -23,7 +23,7 @@ _MUL = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63], np
 
 def size_of(n: int, each: int = BITS_PER_KEY, most: int = MAX_BITS) -> tuple[int, int]:
     """Slices, a power of two, and bits in each, for n keys."""
-    bits = 1 << min(max(each * n - 1, 1 << 12).bit_length(), most.bit_length() - 1)
+    bits = max(8, 1 << min(max(each * n - 1, 1 << 12).bit_length(), most.bit_length() - 1))
     return max(1, bits // SLICE_BITS), min(bits, SLICE_BITS)
 
 

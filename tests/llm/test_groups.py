@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scenewright.llm import components, exact, lines, mixing, simhash, warc
+from scenewright.llm import bloom, components, exact, lines, mixing, simhash, warc
 from scenewright.llm.queries import ORACLES
 
 from .helpers import DOCS, awkward, clashing, frame, prose
@@ -198,11 +198,24 @@ def test_exact_groups_equal_brute_force(spark):
 def test_only_possible_repeats_are_shuffled(spark):
     rows = [(i, f"text number {i}", None, None, None) for i in range(3000)] + [(5000 + i, "same", None, None, None) for i in range(5)]
     table = exact.digests(frame(spark, rows)).cache()
-    total = 1 << 16
-    bits = np.frombuffer(exact.twice_hit(table, total), np.uint8)
-    at = exact.cells(table.select("digest").toArrow().column(0).combine_chunks(), total)
-    maybe = ((bits[at >> 3] >> (at & 7)) & 1).all(0)
-    assert 5 <= maybe.sum() < 60
+    digests = table.select("digest").toArrow().column(0).combine_chunks()
+    for slices, size in ((1, 1 << 16), (8, 1 << 13)):
+        held = exact.twice_hit(table.repartition(5), slices, size)
+        which, at = exact.cells(digests, slices, size)
+        maybe = ((held[which, at >> 3] >> (at & 7)) & 1).all(0)
+        assert 5 <= maybe.sum() < 90
+        hits = Counter(c for k, row in zip(which.tolist(), at.T.tolist()) for c in {(k, x) for x in row})
+        assert {(k, i) for k in range(slices) for i in np.flatnonzero(np.unpackbits(held[k], bitorder="little")).tolist()} == {c for c, n in hits.items() if n > 1}
+
+
+@pytest.mark.parametrize("slice_bits", [1 << 22, 1 << 9])
+def test_key_filter_holds_all_its_keys(spark, monkeypatch, slice_bits):
+    monkeypatch.setattr(bloom, "SLICE_BITS", slice_bits)
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(1 << 63), 1 << 63, 700)
+    test = bloom.key_filter(spark, spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert test(keys).all() and test(rng.integers(-(1 << 63), 1 << 63, 5000)).mean() < 0.02
+    assert not bloom.key_filter(spark, spark.createDataFrame([], "key long"))(keys).any()
 
 
 def brute_lines(rows):
