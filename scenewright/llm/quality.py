@@ -2,7 +2,8 @@
 
 A document's latent score is a linear function of its features; the chance that a document of label 1 is
 preferred to one of label 0 is the logistic function of the difference of their scores. The weights minimise
-that logistic loss over preference pairs, and the score quantile at the share of label 0 separates the two.
+that logistic loss over preference pairs of a bounded sample. The score quantile at the share of label 0, over all labelled documents,
+separates the two.
 
 The features are shares of character classes, of pairs of adjacent classes and of single punctuation marks over
 the whole text, so a document is scored in one scan without a shuffle.
@@ -11,7 +12,7 @@ the whole text, so a document is scored in one scan without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, pick, small
+from .common import Cut, buffers, pick, small
 
 #: Labelled documents of each class that are used for learning, at most; which ones, a hash of the id decides.
 SAMPLE = 3000
 #: Preference pairs for each document of the smaller class.
 PAIRS = 24
+#: Steps between the least and the greatest score of labelled documents in which the threshold is found.
+STEPS = 1 << 16
 #: A document is accepted from this calibrated score on; the quantile of the latent scores is mapped to it.
 ACCEPT = 0.7
 
@@ -96,11 +99,8 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_ranking(x: np.ndarray, label: np.ndarray, sizes: tuple[int, int] | None = None, ridge: float = 1e-3, seed: int = 17) -> Ranking:
-    """Bradley-Terry weights of labelled feature rows. With one class only, nothing is learned: every score is 0.5.
-
-    sizes: how many rows of label 0 and 1 there are where the rows are samples; the quantile is that of all.
-    """
+def fit_ranking(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3, seed: int = 17) -> Ranking:
+    """Bradley-Terry weights of labelled feature rows. With one class only, nothing is learned: every score is 0.5. The threshold is the rows' own."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
         return Ranking((0.0,) * x.shape[1], 0.0, 1.0, False)
@@ -122,28 +122,42 @@ def fit_ranking(x: np.ndarray, label: np.ndarray, sizes: tuple[int, int] | None
         if np.abs(step).max() < 1e-7:
             break
     w = w * unit
-    s = x @ w
-    order = np.argsort(s, kind="stable")
-    n0, n1 = sizes or (len(bad), len(good))
-    below = np.cumsum(np.where(label[order] == 0, n0 / len(bad), n1 / len(good)))
-    k = min(int(np.searchsorted(below, n0 - 1e-6)), len(s) - 2)  # the quantile at the share of label 0, midway to the next score
-    threshold = float((s[order[k]] + s[order[k + 1]]) / 2)
+    s = np.sort(x @ w)
+    k = min(len(bad), len(s) - 1)
     gap = float(np.median(x[good] @ w) - np.median(x[bad] @ w))
-    return Ranking(tuple(w.tolist()), threshold, 8 / max(gap, 1e-9), True)
+    return Ranking(tuple(w.tolist()), float(s[k - 1] + s[k]) / 2, 8 / max(gap, 1e-9), True)
+
+
+def quantile(scores: DataFrame, share: float) -> float:
+    """The value below which this share of ``scores`` (z) lies, to one of ``STEPS`` steps of their range: only counts by step reach the driver."""
+    low, high, n = scores.agg(F.min("z"), F.max("z"), F.count("z")).first()
+    if not n or low == high:
+        return low or 0.0
+    width = (high - low) / STEPS
+    step = F.least(F.floor((F.col("z") - low) / width), F.lit(STEPS - 1)).cast("int")
+    counts = np.zeros(STEPS, np.int64)
+    got = scores.groupBy(step.alias("step")).count().toArrow()
+    counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    below = np.cumsum(counts)
+    k = int(np.searchsorted(below, share * n))
+    filled = np.flatnonzero(counts[k + 1 :])
+    following = k + 1 + int(filled[0]) if len(filled) else k + 1
+    return low + width * (k + 1 + following) / 2  # midway to the next score
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     """Learn from ``labels`` (doc_id, quality) of ``docs`` (doc_id, text).
 
-    At most ``sample`` labelled rows of each class, the first by a hash of the id, are used: what reaches the
-    driver, their features, is bounded. Null labels or ids, and labels other than 0 and 1, don't count; labels
-    of no document don't either. No usable label of either class: nothing is learned.
+    The weights come from at most ``sample`` labelled rows of each class, the first by a hash of the id, one document for each id: what reaches the
+    driver, their features, is bounded. The threshold is the quantile of the scores of all documents with labels at the share of label 0. Null labels
+    or ids, and labels other than 0 and 1, don't count; labels of no document don't either. No usable label of either class: nothing is learned.
     """
-    usable = pick(labels, l_id="doc_id", quality="quality").filter("l_id is not null and quality in (0, 1)")
+    usable = pick(labels, l_id="doc_id", quality="quality").filter("l_id is not null and quality in (0, 1)").select("l_id", F.col("quality").cast("int").alias("quality"))
     one = lambda q: usable.filter(F.col("quality") == q).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    chosen = one(0).unionByName(one(1))
-    counts = dict(usable.groupBy(F.col("quality").cast("int")).count().toArrow().to_pandas().itertuples(index=False, name=None))
-    rows = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    chosen = one(0).unionByName(one(1)).distinct()
+    own = pick(docs, doc_id="doc_id", text="text")
+    rows = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    rows = rows.groupBy("l_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -151,12 +165,26 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
                 x = features(*buffers(batch.column(0)))
                 yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["l_id", "quality", "x"])
 
-    rows = rows.select("text", F.col("quality").cast("int").alias("quality"), F.col("l_id").cast("string").alias("l_id"))
+    rows = rows.select("text", "quality", F.col("l_id").cast("string").alias("l_id"))
     got = rows.mapInArrow(each, "l_id string, quality int, x array<double>").toArrow().to_pandas()
     if not len(got):
         return fit_ranking(np.zeros((0, N_FEATURES)), np.zeros(0))
     got = got.sort_values(["l_id", "quality"], kind="stable")
-    return fit_ranking(np.stack(got["x"].to_numpy()), got["quality"].to_numpy(), (counts.get(0, 0), counts.get(1, 0)))
+    made = fit_ranking(np.stack(got["x"].to_numpy()), got["quality"].to_numpy())
+    if not made.learned:
+        return made
+    weights = np.array(made.weights)
+
+    def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(features(*buffers(batch.column(1))) @ weights), batch.column(0)], ["z", "quality"])
+
+    every = Cut(docs.sparkSession)
+    scored = every(own.join(usable, F.col("doc_id") == F.col("l_id")).select("quality", "text").mapInArrow(latent, "z double, quality int"), "latent")
+    bad, n = scored.agg(F.count_if(F.col("quality") == 0), F.count("*")).first()
+    threshold = quantile(scored, bad / n)
+    every.free(scored)
+    return replace(made, threshold=threshold)
 
 
 def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
