@@ -5,7 +5,8 @@ edits, one piece at least is untouched, so exact piece hits find every occurrenc
 of a document at once by hashes of 8 or 16 bytes, and the text around a hit is verified with Myers' bit-parallel
 distance. Texts are compared in UTF-8 with A-Z lower-cased and blanks made single spaces.
 
-Test sets are broadcast in blocks of at most ``BLOCK_BYTES``; a document passes all blocks in one stage, without a shuffle.
+Test sets are broadcast in blocks of at most ``BLOCK_BYTES``. Blocks of ``PASS_BYTES`` in all are held at once: a document passes them in one
+stage, without a shuffle. A larger test set takes more passes over the documents, each of which keeps the hits only and frees its blocks.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick, small
+from .common import Cut, as_bytes, pick, small
 
 #: Edits allowed for each byte of an item, as far as pieces of ``WIDE`` bytes (``NARROW`` in short items) remain.
 ERRORS = 0.06
 WIDE, NARROW = 16, 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, PASS_BYTES = 16 << 20, 64 << 20
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -92,7 +93,7 @@ class Probes:
 
     def __post_init__(self):
         self.tables = []
-        self.tiny = [i for i, x in enumerate(self.items) if 0 < len(x) < NARROW]
+        self.tiny = [i for i, x in enumerate(self.items) if 0 < len(x) < NARROW]  # they match as whole words
         for width in (WIDE, NARROW):
             found: dict[bytes, list[tuple[int, int, bytes]]] = {}
             for i, item in enumerate(self.items):
@@ -125,10 +126,13 @@ class Probes:
         raw = np.frombuffer(whole, np.uint8)
         size = np.array([len(d) + 1 for d in docs])
         first = np.cumsum(size) - size
-        for i in self.tiny:
+        if self.tiny:
+            own = {i: b" " + self.items[i] + b" " for i in self.tiny}
             for d, doc in enumerate(docs):
-                if self.items[i] in doc:
-                    out[d][i] = 0
+                padded = b" " + doc + b" "
+                for i, item in own.items():
+                    if item in padded:
+                        out[d][i] = 0
         starts: dict[tuple[int, int], set[int]] = {}
         for width, keys, shift, seen, found in self.tables:
             h = _windows(raw, width)
@@ -160,65 +164,107 @@ class Probes:
                 out[d][i] = best
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """The test items as broadcast ``Probes`` of bounded size. Items without an id, and without a word, are no items."""
+def passes(spark: SparkSession, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> Iterator[list]:
+    """The test items as broadcast ``Probes``, a list of blocks for each pass. Items without an id, and without a word, are no items.
+
+    A pass is made when it is asked for, so that only its blocks are held.
+    """
     items = pick(benchmark, item_id="item_id", text="text").filter("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    made = []
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        rows = [(r.item_id, normalised(r.text.encode())) for r in part.orderBy("item_id", "text").toLocalIterator()]
-        rows = [(i, x) for i, x in rows if x]
-        if rows:
-            made.append(spark.sparkContext.broadcast(Probes([i for i, _ in rows], [x for _, x in rows])))
-    return made
-
-
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, items, n_items, best_distance, contaminated) of each row of ``docs`` (doc_id, text).
+    n, each = -(-total // block_bytes), max(1, pass_bytes // block_bytes)
+    for first in range(0, n, each):
+        made = []
+        for k in range(first, min(n, first + each)):
+            part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+            rows = [(r.item_id, normalised(r.text.encode())) for r in part.orderBy("item_id", "text").toLocalIterator()]
+            rows = [(i, x) for i, x in rows if x]
+            if rows:
+                made.append(spark.sparkContext.broadcast(Probes([i for i, _ in rows], [x for _, x in rows])))
+        if made:
+            yield made
+
+
+_HITS = ["doc_id", "h", "items", "best_distance"]
 
-    items: the ids of the test items that occur within their budget, sorted and comma-joined, repeated ids once; empty
-    if there are none, and best_distance is null then. A null text counts as empty and holds no item.
-    """
-    parts = blocks(spark, benchmark)
+
+def _hits(docs: DataFrame, parts: list, every: bool) -> DataFrame:
+    """(doc_id, h, items, best_distance) of ``docs`` (doc_id, h, text): the ids of the items found, sorted; with ``every`` also of rows without any."""
+    key, item = docs.schema["doc_id"].dataType.simpleString(), type(parts[0].value.ids[0]) if parts else int
+    kind = pa.string() if item is str else pa.int64()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = [normalised(t) for t in as_bytes(batch.column(1))]
-            hits: list[dict[int, int]] = [{} for _ in texts]
+            texts = [normalised(t) for t in as_bytes(batch.column(2))]
+            hits: list[dict] = [{} for _ in texts]
             for part in parts:
                 probes = part.value
                 for all_, own in zip(hits, probes.matches(texts)):
                     for i, x in own.items():
                         name = probes.ids[i]
                         all_[name] = min(x, all_.get(name, x))
-            columns = [
-                batch.column(0),
-                pa.array([",".join(map(str, sorted(h))) for h in hits], pa.string()),
-                pa.array([len(h) for h in hits], pa.int64()),
-                pa.array([min(h.values(), default=None) for h in hits], pa.int64()),
-                pa.array([bool(h) for h in hits], pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "items", "n_items", "best_distance", "contaminated"])
+            columns = [*batch.columns[:2], pa.array([sorted(h) for h in hits], pa.list_(kind)), pa.array([min(h.values(), default=None) for h in hits], pa.int64())]
+            made = pa.RecordBatch.from_arrays(columns, _HITS)
+            yield made if every else made.filter(pa.array([bool(h) for h in hits], pa.bool_()))
 
-    picked = pick(docs, doc_id="doc_id", text="text")
-    return picked.mapInArrow(each, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, items string, n_items long, best_distance long, contaminated boolean")
+    return docs.mapInArrow(each, f"doc_id {key}, h long, items array<{'string' if item is str else 'bigint'}>, best_distance long")
 
 
-def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that hold no test item, all columns unchanged."""
-    parts = blocks(spark, benchmark)
-    if not parts:
-        return docs
-    k = docs.columns.index("text")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            texts = [normalised(t) for t in as_bytes(batch.column(k))]
-            keep = np.ones(len(texts), bool)
-            for part in parts:
-                keep &= np.array([not h for h in part.value.matches(texts)], bool)
-            yield batch.filter(pa.array(keep))
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """(doc_id, items, n_items, best_distance, contaminated) of each row of ``docs`` (doc_id, text).
 
-    return docs.mapInArrow(each, docs.schema)
+    items: the ids of the test items that occur within their budget, sorted and comma-joined, repeated ids once; empty
+    if there are none, and best_distance is null then. A null text counts as empty and holds no item.
+    """
+    own = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    cut, found = Cut(spark), []
+    for parts in passes(spark, benchmark, block_bytes, pass_bytes):
+        if found:  # more than one pass: the hits of each are written, and its blocks freed
+            before, held = found[-1]
+            if held:
+                found[-1] = (cut(_hits(own, held, False), "hits"), None)
+                _free(held)
+        found.append((None, parts))
+    if len(found) > 1:
+        last = found[-1][1]
+        found[-1] = (cut(_hits(own, last, False), "hits"), None)
+        _free(last)
+        hits = found[0][0]
+        for more, _ in found[1:]:
+            hits = hits.unionByName(more)
+        # repeated rows have the same hits
+        hits = hits.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("best_distance").alias("best_distance"))
+        rows = own.drop("text").join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    else:
+        rows = _hits(own, found[0][1] if found else [], True)
+    n = F.coalesce(F.size("items"), F.lit(0)).cast("long")
+    n = F.when(F.col("items").isNull(), F.lit(0).cast("long")).otherwise(n)
+    return rows.select("doc_id", F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"), n.alias("n_items"), "best_distance", (n > 0).alias("contaminated"))
+
+
+def _free(parts: list) -> None:
+    for part in parts:
+        part.destroy()
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows that hold no test item, all columns unchanged."""
+    k, cut, held = docs.columns.index("text"), Cut(spark), []
+
+    def keep(left: DataFrame, parts: list) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small(batches):
+                texts = [normalised(t) for t in as_bytes(batch.column(k))]
+                clear = np.ones(len(texts), bool)
+                for part in parts:
+                    clear &= np.array([not h for h in part.value.matches(texts)], bool)
+                yield batch.filter(pa.array(clear))
+
+        return left.mapInArrow(each, docs.schema)
+
+    left = docs
+    for parts in passes(spark, benchmark, block_bytes, pass_bytes):
+        if held:
+            left = cut(keep(left, held), "clean")
+            _free(held)
+        held = parts
+    return keep(left, held) if held else left

@@ -226,6 +226,20 @@ def test_quality_learns_and_holds_out(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= quality.ACCEPT}
 
 
+def test_threshold_is_of_all_labelled_documents(spark):
+    """The sample fits the weights only; accepted are as many labelled documents as have label 1, but for ties in a step."""
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(("abc", "de", "f!", "GH", "1 2")) for _ in range(rng.randint(5, 60))) for _ in range(300)]
+    labels = [(i, int(t.count("!") < len(t) / 18), 0) for i, t in enumerate(texts)]
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)] + [(5, "another text of a repeated id", None, None, None)] * 40)
+    model = quality.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample=20)
+    x = {i: quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for i, t in enumerate(texts)}
+    scores = sorted([float((x[i] @ np.array(model.weights))[0]) for i, _ in enumerate(texts)] + 40 * [float((quality.features(np.frombuffer(b"another text of a repeated id", np.uint8), np.array([0, 29])) @ np.array(model.weights))[0])])
+    bad = sum(q == 0 for _, q, _ in labels) + 40 * (labels[5][1] == 0)
+    step = (scores[-1] - scores[0]) / quality.STEPS
+    assert scores[bad - 1] - 2 * step <= model.threshold <= scores[bad] + 2 * step
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     df = frame(spark)
@@ -273,7 +287,7 @@ def test_leaks_within_the_budget_are_all_found(spark):
         want = {}
         for k, item in enumerate(items):
             p = decontam.normalised(item.encode())
-            if p and d and (e := _edit(p, d)) <= decontam.budget(len(p)):
+            if p and d and (e := _edit(p, d) if len(p) >= decontam.NARROW else int(p not in d.split())) <= decontam.budget(len(p)):
                 want[k] = e
         assert got[i].items == ",".join(map(str, sorted(want))), (i, want)
         assert got[i].best_distance == min(want.values(), default=None) and got[i].contaminated == bool(want)
@@ -283,10 +297,18 @@ def test_leaks_within_the_budget_are_all_found(spark):
     assert decontam.leaks(spark, frame(spark, []), bench).count() == 0
 
 
-def test_benchmark_blocks_are_bounded_and_complete(spark):
-    bench = spark.createDataFrame([(i, f"item number {i} with some words") for i in range(40)], "item_id long, text string")
-    parts = decontam.blocks(spark, bench, block_bytes=300)
-    assert len(parts) > 2 and sorted(i for p in parts for i in p.value.ids) == list(range(40))
+def test_large_test_sets_take_more_passes(spark):
+    bench = spark.createDataFrame([(i, f"item number {i} with some words") for i in range(40)] + [(90, "cat")], "item_id long, text string")
+    made = [[sorted(p.value.ids) for p in parts] for parts in decontam.passes(spark, bench, 300, 700)]
+    assert len(made) > 1 and all(len(parts) <= 2 for parts in made) and sorted(i for parts in made for p in parts for i in p) == [*range(40), 90]
+    rows = [(i, f"before item number {i} with some words and item number {i + 1} with some words", None, None, None) for i in range(0, 60, 3)] + [(100, "concatenate", None, None, None), (101, "a Cat", None, None, None), (None, None, None, None, None), (0, "clean", None, None, None)]
+    docs = frame(spark, rows + rows[:2])
+    one, many = decontam.leaks(spark, docs, bench), decontam.leaks(spark, docs, bench, 300, 700)
+    assert one.schema == many.schema and sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+    got = {(r.doc_id, r.contaminated) for r in one.collect()}
+    assert (100, False) in got and (101, True) in got and (0, True) in got and (0, False) in got
+    kept = decontam.clean(spark, docs, bench, 300, 700)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, decontam.clean(spark, docs, bench).collect())) and kept.count() == one.filter("not contaminated").count()
 
 
 def test_schema_of_documents_is_plain():
