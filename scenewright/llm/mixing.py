@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Cut, pick
+from .common import Cut, fresh, partitions, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source gives at most so many times its size.
@@ -53,18 +53,13 @@ def offset(source: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for each row of ``docs`` (doc_id, source, text).
-
-    size: words of the text, 0 if it is null or blank; such rows take no words whatever their copies. Rows that repeat
-    (source, size, doc_id) are interchangeable: their copies, as a multiset, are the same in every run. A null source
-    is a source of its own, a null doc_id the last of its size. An empty table gives an empty result.
-    """
+def _copies(spark: SparkSession, docs: DataFrame, *keys: str) -> DataFrame:
+    """(``keys``, doc_id, size, source_size, target, copies, taken) for each row of ``docs`` (``keys``, doc_id, source, text)."""
     cut = Cut(spark)
-    t = pick(docs, doc_id="doc_id", source="source", text="text")
-    sizes = cut(t.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("size").asc(), F.col("doc_id").asc_nulls_last()]
+    t = docs.select(*keys, "doc_id", "source", F.xxhash64("text").alias("tie"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = cut(t, "sizes")
+    parts = partitions(sizes)
+    order = [F.col("size").asc(), F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
     ranged = cut(sizes.repartitionByRange(parts, F.col("source").asc_nulls_last(), *order).withColumn("pid", F.spark_partition_id()), "ranges")
     local = ranged.withColumn("rank", F.row_number().over(Window.partitionBy("pid", "source").orderBy(*order)))
     counts = ranged.groupBy("pid", "source").agg(F.count("*").alias("n"))
@@ -74,7 +69,30 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = local.join(starts, (F.col("pid") == F.col("p")) & F.col("source").eqNullSafe(F.col("o"))).join(goals, F.col("source").eqNullSafe(F.col("g")))
     rank = F.col("ahead") + F.col("rank")
     copies = F.floor(offset(F.col("source")) + rank * F.col("rate")) - F.floor(offset(F.col("source")) + (rank - 1) * F.col("rate"))
-    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select(*keys, "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) for each row of ``docs`` (doc_id, source, text).
+
+    size: words of the text, 0 if it is null or blank; such rows take no words whatever their copies. Rows that repeat
+    (source, size, doc_id) come in the order of their text hashes. A null source is a source of its own, a null doc_id the last of its size. An
+    empty table gives an empty result.
+    """
+    return _copies(spark, pick(docs, doc_id="doc_id", source="source", text="text"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns and ``copy``, from 1. Rows that aren't taken are left out.
+
+    The rows are written with numbers first, so that copies, which are decided on sizes only, come back to the rows they are for.
+    """
+    row, copy, times = fresh(docs, "mix_row", "copy", "mix_copies")
+    kept = Cut(spark)(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    own = pick(kept, mix_key=row, doc_id="doc_id", source="source", text="text")
+    taken = _copies(spark, own, "mix_key").filter("copies > 0").select(F.col("mix_key").alias("taken_key"), F.col("copies").cast("int").alias(times))
+    joined = kept.join(taken, F.col(row) == F.col("taken_key"))
+    return joined.select(*[kept[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
 
 
 MIX_SQL = r"""

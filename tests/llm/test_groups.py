@@ -363,6 +363,21 @@ def test_mixing_equals_its_sql(spark):
     assert mixing.mix(spark, frame(spark, [])).count() == 0
 
 
+def test_the_mix_has_each_row_as_often_as_it_is_taken(spark):
+    rng = random.Random(14)
+    rows = awkward() + [(300 + i % 90, " ".join(["w"] * rng.randint(0, 9)), None, rng.choice(["s0", "s1", "s2"]), i) for i in range(200)]
+    df = clashing(frame(spark, rows), "copy", "mix_row", "copies", "tie")
+    made = mixing.mixed(spark, df)
+    assert made.columns == [*df.columns, "copy_"]
+    want = Counter()
+    for r in mixing.mix(spark, df).collect():
+        want[(r.doc_id, r.size)] += r.copies
+    got = made.collect()
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in got) == +want
+    assert {(r.doc_id, r.text, r.source, r.n_chars) for r in got} <= {(i, t, c, n) for i, t, _, c, n in rows}
+    assert mixing.mixed(spark, frame(spark, [])).count() == 0
+
+
 def test_mixing_targets_are_capped(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 5), (None, 0)], "source string, size long")
     got = {r.source: r for r in mixing.targets(sizes).collect()}
