@@ -27,7 +27,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each near-duplicate component."""
+    """Keep one document of each near-duplicate component, that with the smallest doc_id."""
     ship(spark)
     return simhash.keep_first(spark, docs)
 
@@ -39,9 +39,9 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document for the mix, 0 if it isn't taken: (doc_id, size, source_size, target, copies, taken)."""
+    """The mix: each document as often as it is taken, with its columns and ``copy``, from 1."""
     ship(spark)
-    return mixing.mix(spark, docs)
+    return mixing.mixed(spark, docs)
 
 
 STAGES = [
