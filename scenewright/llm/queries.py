@@ -87,4 +87,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k
     """,
     "op8_mixing": mixing.MIX_SQL.format(docs="documents"),
+    # a SHA-1 of 160 bits as four numbers of 40, each eight digits of base 32
+    "op10_warc": r"""
+        WITH p AS (
+            SELECT page_id, row_number() OVER () AS rid, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS h FROM pages
+        ), d AS (
+            SELECT p.*, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       CAST((CAST('0x' || substr(h, CAST(k // 8 AS INTEGER) * 10 + 1, 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+                   row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, rid) AS r, min(page_id) OVER (PARTITION BY h) AS first_id
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN first_id END AS refers_to FROM d
+    """,
 }
