@@ -36,7 +36,11 @@ def normalize(points: DataFrame) -> DataFrame:
     b = cloud_bounds(points).drop("n_points")
     j = points.join(b, "cloud_id")
     one = lambda c: (F.col(c) - F.col(f"min_{c}")) / F.when(F.col(f"extent_{c}") > 1e-6, F.col(f"extent_{c}")).otherwise(1.0) - 0.5
-    return j.select("cloud_id", "pt", *[one(c).alias(c) for c in "xyz"])
+    return j.select("cloud_id", "pt", *[one(c).alias(c) for c in "xyz"], *_colours(points))
+
+
+def _colours(points: DataFrame) -> list[str]:
+    return [c for c in "rgb" if c in points.columns]
 
 
 def center_scale(points: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def translate(points: DataFrame, dx: Column, dy: Column) -> DataFrame:
 def scene_points(objects: DataFrame, points: DataFrame) -> DataFrame:
     """The points of every scene object: the cloud ``cloud_id`` of the object normalised, scaled to twice the half-extents, turned and moved.
 
-    ``objects`` has scene_id, idx, cloud_id, px, py, pz, hx, hy, hz, rotation.
+    ``objects`` has scene_id, idx, cloud_id, px, py, pz, hx, hy, hz, rotation. Colours of the points stay.
     """
     j = objects.join(normalize(points), "cloud_id")
     x, y, z = (F.col(c) * 2 * F.col(f"h{c}") for c in "xyz")
@@ -79,6 +83,7 @@ def scene_points(objects: DataFrame, points: DataFrame) -> DataFrame:
         (x * F.cos(a) + z * F.sin(a) + F.col("px")).alias("x"),
         (y + F.col("py")).alias("y"),
         (z * F.cos(a) - x * F.sin(a) + F.col("pz")).alias("z"),
+        *_colours(points),
     )
 
 

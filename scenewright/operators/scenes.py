@@ -46,13 +46,15 @@ def layout_classes(objects: DataFrame) -> DataFrame:
 def sample_objects(scenes: DataFrame, catalog: DataFrame, wanted, seed: int, draws: int = 24) -> DataFrame:
     """(scene_id, type_idx, object_id, object_name): ``wanted`` different catalog objects for each scene, in random order.
 
-    The catalog has (ord, object_id, object_name) with ord from 0; its size is read once. Up to ``draws`` hashed draws a scene
-    are made and repeats dropped, so the cost doesn't depend on the catalog; a scene whose draws give fewer objects has fewer.
+    The catalog has (ord, object_id, object_name) with ord from 0; its size is read once. ``draws`` hashed draws a scene
+    are made and repeats dropped; where they give too few, those after the first draw follow in order, so a scene has fewer objects
+    only if the catalog, or ``draws``, is smaller. The cost doesn't depend on the catalog.
     """
     size = catalog.count()
     if not size:
-        return catalog.crossJoin(scenes.limit(0)).select("scene_id", F.lit(0).cast("long").alias("type_idx"), "object_id", "object_name")
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.floor(uniform(seed, F.col("scene_id"), i) * size).cast("long"))
+        return scenes.limit(0).select("scene_id", F.lit(0).cast("long").alias("type_idx"), *[F.lit(None).cast(catalog.schema[c].dataType).alias(c) for c in ("object_id", "object_name")])
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.floor(uniform(seed, F.col("scene_id"), i) * size).cast("long"))
+    drawn = F.concat(hashed, F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda j: (hashed[0] + j) % size))
     picked = scenes.select("scene_id", F.posexplode(F.slice(F.array_distinct(drawn), F.lit(1), wanted)).alias("type_idx", "ord"))
     return picked.join(catalog, "ord").select("scene_id", F.col("type_idx").cast("long").alias("type_idx"), "object_id", "object_name")
 

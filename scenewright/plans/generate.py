@@ -1,12 +1,14 @@
 """Task sets from a catalog and layouts: attempts as rows, accepted by rules, numbered and written.
 
 An attempt is a scene: a layout, and for each of its placeholders a catalog object, drawn without replacement by hashes of
-(seed, attempt). Attempts come in ranges: each range's questions are made, deduplicated and appended until enough are accepted
-or a range adds nothing. Points are joined only to the accepted tasks.
+(seed, attempt). The number of attempts grows fourfold until enough tasks are accepted or a larger range adds none. Points are joined
+only to the accepted tasks. Wrong answers come from the scene; others only make up what is short.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ class Inputs:
         self.values = s.component_values(by_object.drop("object_name").withColumnRenamed("object_id", "object_name"))
         self.components = by_object
         self.vocabulary = s.vocabulary(self.values).select("attribute", F.col("values").alias("vocab"))
+        #: The first object of each name: questions about kinds ask for its attributes.
+        self.by_name = self.catalog.groupBy(F.col("object_name").alias("target_name")).agg(F.min_by("object_id", "ord").alias("target_id"))
         standard, special = split_layouts(layouts)
         self.standard, self.special = self._numbered(standard), self._numbered(special)
 
@@ -126,12 +130,18 @@ def _ask(inputs: Inputs, plan: TaskPlan, rows: DataFrame) -> tuple[DataFrame, li
     return _ask_number(inputs, plan, rows, k, draws, one_attribute)
 
 
+def _fill(cand: Column, more: Column, k: int) -> Column:
+    """The candidates, and as many of ``more`` as they lack of k, in order."""
+    return F.concat(cand, F.slice(F.array_except(more, cand), F.lit(1), F.greatest(F.lit(0), F.lit(k) - F.size(cand))))
+
+
 def _top_up(inputs: Inputs, t: DataFrame, plan: TaskPlan) -> DataFrame:
-    """Candidate names, the scene's first, then others of the catalog."""
-    more = s.sample_objects(t.select("scene_id").distinct(), inputs.catalog, F.lit(12), plan.seed + 1)
-    by = more.groupBy("scene_id").agg(F.collect_set("object_name").alias("more"))
+    """Candidate names of the scene, and others of the catalog only if the scene has too few."""
+    more = s.sample_objects(t.select("scene_id").distinct(), inputs.catalog, F.lit(24), plan.seed + 1)
+    by = more.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("type_idx", "object_name"))).alias("more_"))
     t = t.join(by, "scene_id", "left")
-    return t.withColumn("cand", F.concat("cand", F.array_except(F.coalesce("more", F.array().cast("array<string>")), "scene_names")))
+    names = F.transform(F.coalesce("more_", F.array().cast("array<struct<type_idx:bigint,object_name:string>>")), lambda x: x["object_name"])
+    return t.withColumn("cand", _fill(F.array_distinct("cand"), F.array_except(names, "scene_names"), plan.num_options - 1)).drop("more_")
 
 
 def _attribute_candidates(inputs: Inputs, t: DataFrame, kind: str, k: int, draws) -> DataFrame:
@@ -142,11 +152,14 @@ def _attribute_candidates(inputs: Inputs, t: DataFrame, kind: str, k: int, draws
     return t.withColumn("cand", distractors.numeric(F.col("answer").cast("int"), k).cast("array<string>"))
 
 
+def _kinds(inputs: Inputs, plan: TaskPlan, rows: DataFrame) -> DataFrame:
+    splits = inputs.spark.createDataFrame([(n, i, list(x)) for n, all_ in count_splits().items() for i, x in enumerate(all_)], "n long, cfg long, counts array<long>")
+    return s.number_scenes(rows.select("scene_id", "n").distinct(), inputs.catalog, splits, plan.seed)
+
+
 def _ask_number(inputs, plan, rows, k, draws, one_attribute) -> tuple[DataFrame, list[str]]:
     kind, c = plan.generator_type, plan.generator_config
-    sizes = rows.select("scene_id", "n").distinct()
-    splits = inputs.spark.createDataFrame([(n, i, list(x)) for n, all_ in count_splits().items() for i, x in enumerate(all_)], "n long, cfg long, counts array<long>")
-    kinds = s.number_scenes(sizes, inputs.catalog, splits, plan.seed)
+    kinds = _kinds(inputs, plan, rows)
     named = g.named_counts(kinds)
     per = named.groupBy("scene_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "object_name", F.col("cnt").cast("string")))), "|").alias("bag"), F.collect_set("cnt").alias("counts"), F.collect_set("object_name").alias("scene_names"))
     if kind == "count_object":
@@ -157,58 +170,104 @@ def _ask_number(inputs, plan, rows, k, draws, one_attribute) -> tuple[DataFrame,
     if kind == "frequent_object":
         t = g.frequent_object(kinds, c["frequency_type"]).join(per, "scene_id").withColumn("cand", F.array_remove("scene_names", F.col("answer")))
         return _top_up(inputs, t, plan), ["bag"]
-    # the scene's own object is asked about: attributes by its id
-    top = g._frequent_kind(kinds, c["frequency_type"]).withColumnRenamed("object_name", "target_name")
-    ids = kinds.groupBy("scene_id", F.col("object_name").alias("target_name")).agg(F.min_by("object_id", "type_idx").alias("object_name"))
-    found = top.join(ids, ["scene_id", "target_name"]).join(s.object_values(inputs.values), "object_name")
+    # asked about is the first object of the catalog with the name; wrong answers are first what the scene's other kinds have
     listed = kind.startswith("list")
+    values = s.object_values(inputs.values).withColumnRenamed("object_name", "target_id")
+    found = g._frequent_kind(kinds, c["frequency_type"]).withColumnRenamed("object_name", "target_name").join(inputs.by_name, "target_name").join(values, "target_id")
     q = F.concat(F.lit("List all " if listed else "How many "), "attribute", F.lit(f"s {'' if listed else 'are '}in the components of the {c['frequency_type']} frequent object in the scene?"))
     t = one_attribute(found).withColumn("question", q).withColumn("answer", F.array_join("vals", ", ") if listed else F.size("vals").cast("string")).join(per, "scene_id")
-    return _attribute_candidates(inputs, t, kind, k, draws), ["attribute", "bag"]
+    others = kinds.groupBy("scene_id", "object_name").agg(F.max_by("object_id", "type_idx").alias("o_id"))
+    own = t.select("scene_id", "attribute", "target_name", "answer").join(others, "scene_id").filter("object_name <> target_name")
+    own = own.join(values.select(F.col("target_id").alias("o_id"), "attribute", F.col("vals").alias("o_vals")), ["o_id", "attribute"], "left")
+    said = F.array_join("o_vals", ", ") if listed else F.coalesce(F.size("o_vals"), F.lit(0)).cast("string")
+    said = said if listed else F.when(F.col("o_vals").isNull(), "0").otherwise(said)
+    first = own.withColumn("said_", said).filter("said_ <> answer").groupBy("scene_id").agg(F.array_sort(F.collect_set("said_")).alias("cand"))
+    t = t.join(first, "scene_id", "left").withColumn("cand", F.coalesce("cand", F.array().cast("array<string>")))
+    if listed:
+        more = F.array_distinct(F.filter(draws(F.size("vals")), lambda x: x != F.col("answer")))
+        t = t.join(inputs.vocabulary, "attribute")
+    else:
+        more = distractors.numeric(F.size("vals"), 2 * k + 9).cast("array<string>")
+    return t.withColumn("cand", _fill(F.col("cand"), more, k)), ["attribute", "bag"]
+
+
+def number_objects(inputs: Inputs, plan: TaskPlan, rows: DataFrame) -> DataFrame:
+    """The objects of number scenes: each place of the layout has the kind whose range it is in."""
+    kinds = _kinds(inputs, plan, rows).select("scene_id", F.col("object_id").alias("kind_id"), F.col("object_name").alias("kind_name"), "first_idx", "last_idx")
+    return rows.join(kinds, "scene_id").filter("idx between first_idx and last_idx").withColumns({"object_id": F.col("kind_id"), "object_name": F.col("kind_name")}).drop("kind_id", "kind_name", "first_idx", "last_idx")
+
 
+def is_number(kind: str) -> bool:
+    return kind == "count_object" or "frequent" in kind
 
-def tasks(inputs: Inputs, plan: TaskPlan, wanted: int, oversample: int = 4, rounds: int = 5) -> DataFrame:
+
+def layouts_for(inputs: Inputs, kind: str) -> DataFrame:
+    return inputs.special if kind == "what_distance" or is_number(kind) else inputs.standard
+
+
+def tasks(inputs: Inputs, plan: TaskPlan, wanted: int, oversample: int = 4, rounds: int | None = None) -> DataFrame:
     """Up to ``wanted`` tasks of a plan: question_id, scene_id, point, category, question, options, answer.
 
     A key is asked once; an attempt with too few wrong answers is dropped before that is decided. The number of attempts grows
-    fourfold a round until enough are accepted, at most ``rounds`` times, so an exhausted key space gives fewer tasks.
+    fourfold a round until enough are accepted, a round adds none, or after ``rounds`` of them; a warning says if there are fewer than wanted.
     """
     kind = plan.generator_type
-    layouts = inputs.special if kind == "what_distance" or kind in ("count_object",) or "frequent" in kind else inputs.standard
-    last = max(16, wanted * oversample)
-    for turn in range(rounds):
+    layouts, last, before, turn = layouts_for(inputs, kind), max(16, wanted * oversample), -1, 0
+    while True:
         rows = attempts(inputs, layouts, plan.seed, 0, last)
         asked, key = _ask(inputs, plan, rows)
         ready = distractors.with_options(asked.filter("answer <> ''"), "answer", "cand", plan.num_options, plan.seed, F.col("scene_id"))
         kept = g.first_seen(ready, key, ["scene_id"]).orderBy("scene_id").limit(wanted).select("scene_id", "question", "options", "answer").cache()
-        if kept.count() >= wanted or turn == rounds - 1:
+        n, turn = kept.count(), turn + 1
+        if n >= wanted or n == before or turn == rounds:
             break
         kept.unpersist()
-        last *= 4
+        last, before = last * 4, n
+    if n < wanted:
+        warnings.warn(f"{kind}: {n} of {wanted} tasks from {last} attempts", stacklevel=2)
+    # what is numbered is as many rows as were asked for
     number = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("scene_id")) - 1).cast("long")
     kept = kept.withColumn("question_id", number)
     category = relations.category(F.lit(kind), F.lit(plan.generator_config.get("distance_type")).cast("string"))
-    return kept.select("question_id", "scene_id", F.concat(F.lpad(F.col("question_id").cast("string"), 6, "0"), F.lit(".npy")).alias("point"), category.alias("category"), "question", "options", "answer")
+    return kept.select("question_id", "scene_id", point_file(F.col("question_id")).alias("point"), category.alias("category"), "question", "options", "answer")
+
+
+def point_file(number: Column) -> Column:
+    """The file of a scene's cloud: its number in six digits or more."""
+    text = number.cast("string")
+    return F.concat(F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text), F.lit(".npy"))
+
+
+def task_scenes(inputs: Inputs, plan: TaskPlan, made: DataFrame) -> DataFrame:
+    """The objects of the scenes of ``made`` (scene_id, question_id): what ``attempts`` gives, in number scenes with the kinds in their places."""
+    last = made.agg(F.max("scene_id")).first()[0]
+    rows = attempts(inputs, layouts_for(inputs, plan.generator_type), plan.seed, 0, -1 if last is None else last + 1)
+    rows = rows.join(made.select("scene_id", "question_id"), "scene_id")
+    return number_objects(inputs, plan, rows) if is_number(plan.generator_type) else rows
+
+
+def scene_metadata(rows: DataFrame) -> DataFrame:
+    """(scene_id, point_cloud, layout_id, layout_template, layout_description, objects) of task scenes; the names are put into the template."""
+    details = F.sort_array(F.collect_list(F.struct("idx", "placeholder", F.col("object_name").alias("name"), "object_id")))
+    by = rows.groupBy("question_id", "layout_id", "description").agg(F.transform(details, lambda o: F.struct(o["name"].alias("name"), o["object_id"].alias("object_id"), o["placeholder"].alias("placeholder"))).alias("objects"))
+    text = F.coalesce("description", F.lit(""))
+    return by.select(F.col("question_id").alias("scene_id"), point_file(F.col("question_id")).alias("point_cloud"), "layout_id", text.alias("layout_template"), relations.fill_placeholders(text, F.col("objects")).alias("layout_description"), "objects")
 
 
 def generate(inputs: Inputs, plan: TaskPlan, wanted: int, folder: str, clouds: DataFrame | None = None) -> dict:
     """Make a task set and write it below ``folder``; the returned description is written too.
 
-    ``clouds`` (cloud_id, pt, x, y, z) are the objects' points by object id; with them each accepted task's scene is written as one
-    cloud. Kinds of number scenes repeat an object; their clouds aren't written, as the layout's objects are replaced.
+    Every accepted task's scene is described in the metadata. ``clouds`` (cloud_id, pt, x, y, z, and r, g, b if there are colours) are the objects'
+    points by object id; with them each scene is written as one cloud.
     """
     made = tasks(inputs, plan, wanted).cache()
     n = made.count()
     sinks.write_tasks(made, folder)
-    kind = plan.generator_type
-    if clouds is not None and not (kind == "count_object" or "frequent" in kind):
-        layouts = inputs.special if kind == "what_distance" else inputs.standard
-        last = made.agg(F.max("scene_id")).first()[0]
-        if last is not None:
-            rows = attempts(inputs, layouts, plan.seed, 0, last + 1).join(made.select("scene_id", "question_id"), "scene_id")
-            sinks.write_scene_metadata(rows.groupBy("question_id", "layout_id", "description").agg(F.sort_array(F.collect_list(F.struct("placeholder", F.col("object_name").alias("name"), "object_id"))).alias("objects")), folder)
-            objects = rows.withColumn("cloud_id", F.col("object_id"))
-            points = geometry.scene_points(objects, clouds).join(rows.select("scene_id", "question_id").distinct(), "scene_id")
+    if n:
+        rows = task_scenes(inputs, plan, made)
+        sinks.write_scene_metadata(scene_metadata(rows), folder)
+        if clouds is not None:
+            points = geometry.scene_points(rows.withColumn("cloud_id", F.col("object_id")), clouds).join(rows.select("scene_id", "question_id").distinct(), "scene_id")
             sinks.write_scene_clouds(points, folder).count()
     made.unpersist()
     return sinks.task_info(plan, wanted, n, folder)

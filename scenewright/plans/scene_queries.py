@@ -186,7 +186,8 @@ _KINDS_SQL = f""", z AS (SELECT scene_id, n FROM so WHERE n >= 3 GROUP BY scene_
     mx AS (SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY {order_key_sql(f"'{SEED}'", "'count'", "scene_id", "(i - 1)")}, c) - 1 AS type_idx, c AS cnt
            FROM (SELECT scene_id, unnest(counts) AS c, generate_subscripts(counts, 1) AS i FROM ch)),
     dr AS (SELECT scene_id, i, CAST(floor({uniform_sql(f"'{SEED}'", "scene_id", "i")} * (SELECT count(*) FROM cat)) AS BIGINT) AS ord FROM ch, range(12) t(i)),
-    ds AS (SELECT scene_id, ord, row_number() OVER (PARTITION BY scene_id ORDER BY min(i)) - 1 AS type_idx FROM dr GROUP BY scene_id, ord),
+    d2r AS (SELECT scene_id, i, ord FROM dr UNION ALL SELECT scene_id, 11 + j, (ord + j) % (SELECT count(*) FROM cat) FROM dr, range(1, 13) t(j) WHERE i = 0),
+    ds AS (SELECT scene_id, ord, row_number() OVER (PARTITION BY scene_id ORDER BY min(i)) - 1 AS type_idx FROM d2r GROUP BY scene_id, ord),
     kinds AS (
         SELECT ch.scene_id, ch.n, ds.type_idx, object_id, object_name, CAST(cnt AS BIGINT) AS cnt, CAST(sum(cnt) OVER (PARTITION BY ch.scene_id ORDER BY ds.type_idx) - 1 AS BIGINT) AS last_idx
         FROM ch JOIN ds USING (scene_id) JOIN mx ON mx.scene_id = ch.scene_id AND mx.type_idx = ds.type_idx JOIN cat USING (ord)),

@@ -6,7 +6,6 @@ Rows go out in parallel as JSON lines; only single small documents, whose size d
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,7 +52,7 @@ def write_scene_clouds(points: DataFrame, folder: str) -> DataFrame:
 
 
 def write_scene_metadata(scenes: DataFrame, folder: str) -> None:
-    """(scene_id, point_cloud, layout_id, layout_description, objects) as JSON lines below ``folder``/pcd_metadata."""
+    """(scene_id, point_cloud, layout_id, layout_template, layout_description, objects) as JSON lines below ``folder``/pcd_metadata."""
     details = F.struct(F.size("objects").alias("count"), F.col("objects").alias("details"))
     scenes.withColumn("objects", details).write.mode("overwrite").json(f"{folder}/pcd_metadata")
 
@@ -83,17 +82,45 @@ def write_hard_data(hard: DataFrame, seed: int, folder: str) -> int:
     return n
 
 
-def export_cloud(points: DataFrame, path: str) -> int:
-    """One cloud as an .npy file, in the order of pt. IndexError if it has no point. It is read batch by batch."""
+def write_array(rows: DataFrame, path: str) -> int:
+    """One document with a JSON array of the rows, in their order; nothing without a row. Rows come to the driver a partition at a time and aren't held."""
+    lines = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).toLocalIterator()
+    n, out = 0, None
+    for r in lines:
+        if out is None:
+            fs, at = pafs.FileSystem.from_uri(path)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            out = fs.open_output_stream(at, compression=None)
+        out.write((b",\n" if n else b"[\n") + r.line.encode())
+        n += 1
+    if out is not None:
+        out.write(b"\n]\n")
+        out.close()
+    return n
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """(attribute, values) as one document, an attribute each with its sorted values; there are four attributes."""
+    write_document(path, {r.attribute: list(r["values"]) for r in vocabulary.orderBy("attribute").toLocalIterator()})
 
-    def rows() -> Iterator[list[float]]:
-        for r in points.orderBy("pt").select("x", "y", "z").toLocalIterator():
-            yield [r.x, r.y, r.z]
 
-    p = np.array(list(rows()))
-    if not len(p):
+def export_cloud(points: DataFrame, path: str) -> int:
+    """One cloud as an .npy file, or as .xyz or .ply text by the path's suffix, in the order of pt. IndexError if it has no point.
+
+    Columns r, g, b are written too if there are any. Points are read in Arrow batches: what is held is the array that is written.
+    """
+    columns = [c for c in "xyzrgb" if c in points.columns]
+    table = points.orderBy("pt").select(*[F.col(c).cast("double") for c in columns]).toArrow()
+    if not table.num_rows:
         raise IndexError("there is no such cloud")
+    p = np.stack([c.to_numpy() for c in table.columns], 1)
     fs, at = pafs.FileSystem.from_uri(path)
     with fs.open_output_stream(at, compression=None) as out:
-        np.save(out, p)
+        if path.endswith((".xyz", ".ply")):
+            if path.endswith(".ply"):
+                names = "".join(f"property double {c}\n" for c in ("x", "y", "z", "red", "green", "blue")[: len(columns)])
+                out.write(f"ply\nformat ascii 1.0\nelement vertex {len(p)}\n{names}end_header\n".encode())
+            np.savetxt(out, p, fmt="%.17g")
+        else:
+            np.save(out, p)
     return len(p)

@@ -93,3 +93,61 @@ def test_scarce_catalog_gives_fewer_tasks(spark, tmp_path):
     assert few.standard.count() == 1
     with pytest.raises(ValueError):
         files.split_layouts(files.read_layouts(spark, str(tmp_path / "l.json")).filter(F.lit(False)))
+
+
+def test_wrong_answers_come_from_the_scene_first(inputs):
+    """Names out of the scene are among the options only where the scene has too few others."""
+    plan = TaskPlan("what_size", 4, 3, {"size_type": "largest"})
+    made = gen.tasks(inputs, plan, 12).cache()
+    scenes = {}
+    for o in gen.task_scenes(inputs, plan, made).collect():
+        scenes.setdefault(o.scene_id, set()).add(o.object_name)
+    for r in made.collect():
+        own = scenes[r.scene_id]
+        assert len(set(r.options) - own) == max(0, 4 - len(own))
+
+
+@pytest.mark.parametrize("kind", ["list_attribute_frequent", "count_attribute_frequent"])
+def test_attributes_of_frequent_kinds(inputs, kind):
+    """The answer is of the first object with the name; what the scene's other kinds have comes first among the wrong answers."""
+    plan = TaskPlan(kind, 3, 5, {"frequency_type": "most"})
+    made = gen.tasks(inputs, plan, 8).cache()
+    names = {r.object_id: r.object_name for r in inputs.catalog.collect()}
+    values = {}
+    for r in inputs.values.collect():
+        values.setdefault((r.object_name, r.attribute), set()).add(r.value)
+    said = lambda i, a: ", ".join(sorted(values.get((i, a), ()))) if kind.startswith("list") else str(len(values.get((i, a), ())))
+    first = {}
+    for i, name in sorted(names.items()):
+        first.setdefault(name, i)
+    scenes = {}
+    for o in gen.task_scenes(inputs, plan, made).collect():
+        scenes.setdefault(o.scene_id, []).append(o)
+    rows = made.collect()
+    assert rows
+    for r in rows:
+        objects = scenes[r.scene_id]
+        count = {n: sum(o.object_name == n for o in objects) for n in {o.object_name for o in objects}}
+        attribute = next(a for a in ("material", "color", "shape", "texture") if f" {a}s " in r.question)
+        top = [n for n, c in count.items() if c == max(count.values())]
+        assert r.answer in {said(first[n], attribute) for n in top}
+        others = {said(o.object_id, attribute) for o in objects if o.object_name not in top} - {r.answer, ""}
+        wrong = set(r.options) - {r.answer}
+        if len(top) == 1:
+            assert wrong <= others if len(others) >= 2 else others <= wrong
+
+
+def test_number_scenes_have_clouds_and_metadata(spark, inputs, tmp_path):
+    ids = [r.object_id for r in inputs.catalog.collect()]
+    clouds = spark.createDataFrame([(i, k, k / 3, 1.0 * k, 0.5, 0.1, 0.2, 0.3) for i in ids for k in range(4)], "cloud_id string, pt long, x double, y double, z double, r double, g double, b double")
+    gen.generate(inputs, TaskPlan("count_object", 3, 2), 4, f"file://{tmp_path}/n", clouds)
+    lines = [json.loads(x) for f in sorted((tmp_path / "n/tasks").glob("*.json")) for x in f.read_text().splitlines()]
+    scenes = {x["scene_id"]: x for f in (tmp_path / "n/pcd_metadata").glob("*.json") for x in map(json.loads, f.read_text().splitlines())}
+    assert len(lines) == len(scenes) == 4
+    for line in lines:
+        scene = scenes[line["question_id"]]
+        name = line["question"].removeprefix("How many ").removesuffix(" in the scene?")
+        assert sum(o["name"] == name for o in scene["objects"]["details"]) == int(line["answer"])
+        cloud = np.load(tmp_path / "n/pcd" / line["point"])
+        assert cloud.shape == (4 * scene["objects"]["count"], 6) and (cloud[:, 3:] == [0.1, 0.2, 0.3]).all()
+        assert "[" not in scene["layout_description"]
