@@ -51,3 +51,9 @@ def option_labels(choices: Column) -> Column:
 def category(kind: Column, distance_type: Column) -> Column:
     """The task category: the kind, an underscore, and the distance type if there is one."""
     return F.concat(kind, F.lit("_"), F.coalesce(distance_type, F.lit("")))
+
+
+def plain_category(kind: Column, distance_type: Column) -> Column:
+    """The category without a trailing underscore; ``unknown`` without a kind."""
+    known = F.coalesce(distance_type, F.lit("")) != ""
+    return F.when(F.coalesce(kind, F.lit("")) == "", "unknown").otherwise(F.when(known, F.concat(kind, F.lit("_"), distance_type)).otherwise(kind))

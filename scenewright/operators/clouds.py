@@ -42,6 +42,7 @@ def clusters(points: DataFrame, seed: int = 42) -> DataFrame:
     """(cloud_id, pt, cluster): k-means with k of 2 to 8, one for 200 points; -1 in clouds of fewer points than k."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("pt", kind="stable")  # trials draw points by place
         p, n = g[["x", "y", "z"]].to_numpy(float), len(g)
         k = min(8, max(2, n // 200))
         label = np.full(n, -1)
@@ -64,7 +65,7 @@ def clusters(points: DataFrame, seed: int = 42) -> DataFrame:
                     best, label = cost, own
         return pd.DataFrame({"cloud_id": g["cloud_id"], "pt": g["pt"], "cluster": label.astype(np.int32)})
 
-    return points.orderBy("cloud_id", "pt").groupBy("cloud_id").applyInPandas(one, "cloud_id long, pt long, cluster int")
+    return points.groupBy("cloud_id").applyInPandas(one, "cloud_id long, pt long, cluster int")
 
 
 def normals(points: DataFrame, radius: float = 0.1, most: int = 30) -> DataFrame:
@@ -75,10 +76,12 @@ def normals(points: DataFrame, radius: float = 0.1, most: int = 30) -> DataFrame
         v = np.tile([0.0, 0.0, 1.0], (n, 1))
         if n > 1:
             far, where = _nearest(p, min(most - 1, n - 1))
-            for i in range(n):
-                near = p[[i, *where[i][far[i] <= radius]]]
-                if len(near) >= 3:
-                    v[i] = np.linalg.eigh(np.cov(near.T))[1][:, 0]
+            for a in range(0, n, _BLOCK):
+                near = np.concatenate([p[a : a + _BLOCK, None, :], p[where[a : a + _BLOCK]]], 1)
+                own = np.concatenate([np.ones((len(near), 1)), far[a : a + _BLOCK] <= radius], 1)[:, :, None]
+                size = own.sum(1)
+                away = (near - (near * own).sum(1, keepdims=True) / size[:, None]) * own
+                v[a : a + _BLOCK] = np.where(size >= 3, np.linalg.eigh(away.transpose(0, 2, 1) @ away)[1][:, :, 0], v[a : a + _BLOCK])
         return pd.DataFrame({"cloud_id": g["cloud_id"], "pt": g["pt"], "nx": v[:, 0], "ny": v[:, 1], "nz": v[:, 2]})
 
     return points.groupBy("cloud_id").applyInPandas(one, "cloud_id long, pt long, nx double, ny double, nz double")

@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.relations import option_labels
+from ..rng import order_key
+from .numbering import numbered
 
 
 def resolve_answer(answer: Column, choices: Column) -> Column:
@@ -32,13 +34,34 @@ def resolve_answer(answer: Column, choices: Column) -> Column:
     return F.coalesce(*exact, *[only(x) for x in (choices, options, letters, brackets)], F.lit(""))
 
 
-def utility(candidates: DataFrame, history: DataFrame, weight: float = 0.2) -> DataFrame:
+#: Tested tasks that are broadcast at once: at 192 numbers each some 15 MB.
+HISTORY = 10_000
+
+
+def utility(candidates: DataFrame, history: DataFrame, weight: float = 0.2, block: int = HISTORY) -> DataFrame:
     """(task_id, utility): the greatest similarity to a failed task less ``weight`` times that to any tested one.
 
     ``candidates`` has (task_id, embedding), ``history`` (embedding, is_correct); no tested, or failed, task counts as
-    similarity 0. The history is at most the evaluation budget, so it is collected as one matrix and broadcast.
+    similarity 0. A history of up to ``block`` rows is one broadcast matrix. A longer one is cut into blocks by a hash; each gives every
+    candidate's two greatest similarities, and these are aggregated, so no matrix is over some times ``block``.
     """
-    rows = history.select("embedding", "is_correct").toArrow()
+    total = history.count()
+    n = max(1, -(-total // block))
+    rows = candidates.select(F.col("task_id").cast("long").alias("task_id"), "embedding")
+    own = history.select("embedding", "is_correct")
+    parts = [own if n == 1 else own.filter(F.pmod(F.xxhash64("embedding"), F.lit(n)) == k) for k in range(n)]
+    found = [_similar(rows, part) for part in parts]
+    made = found[0]
+    for more in found[1:]:
+        made = made.unionByName(more)
+    if n > 1:
+        made = made.groupBy("task_id").agg(F.max("failed").alias("failed"), F.max("tested").alias("tested"))
+    return made.select("task_id", (F.coalesce("failed", F.lit(0.0)) - weight * F.coalesce("tested", F.lit(0.0))).alias("utility"))
+
+
+def _similar(candidates: DataFrame, history: DataFrame) -> DataFrame:
+    """(task_id, failed, tested): the greatest similarities to a failed and to any task of one block; null without one."""
+    rows = history.toArrow()
     matrix = np.array(rows.column("embedding").to_pylist(), float)
     wrong = ~np.array(rows.column("is_correct").to_pylist(), bool)
     shared = candidates.sparkSession.sparkContext.broadcast((matrix, wrong))
@@ -46,20 +69,22 @@ def utility(candidates: DataFrame, history: DataFrame, weight: float = 0.2) -> D
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, bad = shared.value
         for batch in batches:
-            u = np.zeros(batch.num_rows)
+            failed, tested = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
             if len(m) and batch.num_rows:
                 x = np.array(batch.column(1).to_pylist(), float)
                 for k in range(0, len(x), 1024):
                     s = x[k : k + 1024] @ m.T
-                    u[k : k + 1024] = (s[:, bad].max(1) if bad.any() else 0.0) - weight * s.max(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(u)], ["task_id", "utility"])
+                    tested[k : k + 1024] = s.max(1)
+                    if bad.any():
+                        failed[k : k + 1024] = s[:, bad].max(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(failed, from_pandas=True), pa.array(tested, from_pandas=True)], ["task_id", "failed", "tested"])
 
-    return candidates.select(F.col("task_id").cast("long").alias("task_id"), "embedding").mapInArrow(each, "task_id long, utility double")
+    return candidates.mapInArrow(each, "task_id long, failed double, tested double")
 
 
 def top_tasks(scores: DataFrame, k: int) -> DataFrame:
-    """The k tasks of the greatest utility, the smaller id first on ties."""
-    return scores.orderBy(F.desc("utility"), F.asc("task_id")).limit(k)
+    """The k tasks of the greatest utility, to nine decimals, the smaller id first on ties."""
+    return scores.orderBy(F.round("utility", 9).desc(), F.asc("task_id")).limit(k)
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -68,10 +93,21 @@ def summary(results: DataFrame) -> DataFrame:
     return made.withColumn("error_rate", F.round(F.when(F.col("total") > 0, F.col("errors") / F.col("total")).otherwise(0.0), 6))
 
 
+def error_indices(results: DataFrame) -> DataFrame:
+    """(task_id) of the failed tasks, in order: rows, as they may be many."""
+    return results.filter(~F.col("is_correct")).select("task_id").orderBy("task_id")
+
+
 def hard_tasks(results: DataFrame) -> DataFrame:
-    """The failed tasks with new numbers from 0 in the order of task_id. There are at most as many as the budget."""
-    w = Window.partitionBy(F.lit(0)).orderBy("task_id")
-    return results.filter(~F.col("is_correct")).withColumn("question_id", (F.row_number().over(w) - 1).cast("long"))
+    """The failed tasks with new numbers from 0 in the order of task_id."""
+    return numbered(results.filter(~F.col("is_correct")), "task_id", "question_id")
+
+
+def shuffled_trials(tasks: DataFrame, trials: int, seed: int) -> DataFrame:
+    """``tasks`` (task_id, options, ...) once for each ``trial`` from 0, the options in an order of its own."""
+    rows = tasks.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    keyed = F.transform("options", lambda x, i: F.struct(order_key(seed, F.col("task_id"), F.col("trial"), x, i).alias("h"), x.alias("x")))
+    return rows.withColumn("options", F.transform(F.array_sort(keyed), lambda s: s["x"]))
 
 
 def mean_accuracy(results: DataFrame, key: str) -> DataFrame:

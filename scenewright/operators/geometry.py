@@ -94,6 +94,17 @@ def scaled(points: DataFrame, value: Column, name: str) -> DataFrame:
     return own.join(r, "cloud_id").withColumn(name, F.when(F.col("hi_") > F.col("lo_"), (F.col(name) - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))).otherwise(0.0)).drop("lo_", "hi_")
 
 
+def details(points: DataFrame) -> DataFrame:
+    """One row a cloud, and one with a null id for all together: points, whether there are colours and normals, bounds and centre."""
+    has = lambda *names: F.max(F.lit(set(names) <= set(points.columns)) & (F.col(names[0]).isNotNull() if set(names) <= set(points.columns) else F.lit(False)))
+    sums = [F.count("*").alias("n_points"), has("r", "g", "b").alias("has_colors"), has("nx", "ny", "nz").alias("has_normals")]
+    return points.rollup("cloud_id").agg(*sums, *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max), ("center", F.avg))])
+
+
+def per_cloud():
+    return Window.partitionBy("cloud_id")
+
+
 def rainbow(points: DataFrame) -> DataFrame:
     """The place of each point in its cloud, from 0 to 1."""
     return points.withColumn("shade", F.percent_rank().over(Window.partitionBy("cloud_id").orderBy("pt")))

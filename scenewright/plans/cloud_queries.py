@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import relations
-from ..operators import clouds, evaluation, geometry, models
-from ..rng import order_key, order_key_sql
+from ..functions import colours, relations
+from ..operators import clouds, evaluation, geometry, models, visual
+from ..rng import order_key, order_key_sql, uniform_sql
 from .views import SEED, VIEWS_SQL, points, scene_objects, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,7 +115,7 @@ def _sample(p: DataFrame, n: int = 32) -> DataFrame:
     return p.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("cloud_id", "pt")
 
 
-# selection of tasks: the tested ones are the embeddings below 50, the failed ones those of labels 1 and 2
+# selection of tasks: the tested ones are every fiftieth embedding, the failed ones those of labels 1 and 2
 def _embedded(sp, d):
     e = table(sp, d, "embeddings")
     return e.select(F.col("vec_id").alias("task_id"), F.col("embedding").cast("array<double>").alias("embedding"), (~F.col("label").isin(1, 2)).alias("is_correct"))
@@ -123,23 +123,23 @@ def _embedded(sp, d):
 
 def _scores(sp, d):
     e = _embedded(sp, d)
-    return evaluation.utility(e.filter("task_id >= 50"), e.filter("task_id < 50"))
+    return evaluation.utility(e.filter("task_id % 50 <> 0"), e.filter("task_id % 50 = 0"))
 
 
 _U = """, e AS (SELECT vec_id AS task_id, embedding::DOUBLE[] AS v, label NOT IN (1, 2) AS is_correct FROM embeddings),
-    p AS (SELECT c.task_id, list_inner_product(c.v, h.v) AS s, h.is_correct FROM e c, e h WHERE c.task_id >= 50 AND h.task_id < 50),
+    p AS (SELECT c.task_id, list_inner_product(c.v, h.v) AS s, h.is_correct FROM e c, e h WHERE c.task_id % 50 <> 0 AND h.task_id % 50 = 0),
     u AS (SELECT task_id, round(coalesce(max(s) FILTER (NOT is_correct), 0) - 0.2 * max(s), 6) + 0.0 AS utility FROM p GROUP BY task_id)"""
 _add("utility_scores", lambda sp, d: _rounded(_scores(sp, d), "utility", places=6), _U + " SELECT task_id, utility FROM u")
 _add("utility_topk", lambda sp, d: evaluation.top_tasks(_rounded(_scores(sp, d), "utility", places=6), 10), _U + " SELECT task_id, utility FROM u ORDER BY utility DESC, task_id LIMIT 10")
 _add(
     "eval_summary",
-    lambda sp, d: evaluation.summary(_embedded(sp, d).filter("task_id < 50")),
-    _U + " SELECT count(*) AS total, count(*) FILTER (NOT is_correct) AS errors, round(count(*) FILTER (NOT is_correct) / count(*), 6) AS error_rate FROM e WHERE task_id < 50",
+    lambda sp, d: evaluation.summary(_embedded(sp, d)),
+    _U + " SELECT count(*) AS total, count(*) FILTER (NOT is_correct) AS errors, round(count(*) FILTER (NOT is_correct) / count(*), 6) AS error_rate FROM e",
 )
 _add(
     "hard_data",
-    lambda sp, d: evaluation.hard_tasks(_embedded(sp, d).filter("task_id < 50").drop("embedding")).select("question_id", "task_id"),
-    _U + " SELECT row_number() OVER (ORDER BY task_id) - 1 AS question_id, task_id FROM e WHERE task_id < 50 AND NOT is_correct",
+    lambda sp, d: evaluation.hard_tasks(_embedded(sp, d).drop("embedding")).select("question_id", "task_id"),
+    _U + " SELECT row_number() OVER (ORDER BY task_id) - 1 AS question_id, task_id FROM e WHERE NOT is_correct",
 )
 
 
@@ -149,8 +149,20 @@ def _dynamic(sp, d):
     return evaluation.dynamic_evaluation(sp, pool.drop("is_correct"), lambda t: t.join(truth, "task_id"), budget=40, batch=10).select("task_id", "is_correct", "step")
 
 
-_add("dynamic_eval", _dynamic)
+def _dynamic_sql(budget: int = 40, batch: int = 10) -> str:
+    steps = ["h0 AS (SELECT task_id, v, is_correct, 0 AS step FROM e ORDER BY task_id LIMIT 10)"]
+    for k in range(1, budget // batch):
+        steps.append(f"""h{k} AS (SELECT * FROM h{k - 1} UNION ALL SELECT task_id, v, is_correct, {k} AS step FROM (
+            SELECT c.task_id, any_value(c.v) AS v, any_value(c.is_correct) AS is_correct,
+                   round(coalesce(max(list_inner_product(c.v, h.v)) FILTER (NOT h.is_correct), 0) - 0.2 * max(list_inner_product(c.v, h.v)), 9) AS u
+            FROM e c, h{k - 1} h WHERE c.task_id NOT IN (SELECT task_id FROM h{k - 1}) GROUP BY c.task_id ORDER BY u DESC, task_id LIMIT {batch}))""")
+    return ", e AS (SELECT vec_id AS task_id, embedding::DOUBLE[] AS v, label NOT IN (1, 2) AS is_correct FROM embeddings), " + ", ".join(steps) + f" SELECT task_id, is_correct, step FROM h{budget // batch - 1}"
 
+
+_add("dynamic_eval", _dynamic, _dynamic_sql())
+
+#: Forms of an answer, and what makes one of a brand and its letter.
+_FREE = ("{x}", "({l})", "{l}", "({l}) {x}", "It is {x}", "The answer is ({l})", "none of them", "  {x}  ")
 _ANSWERS = ["red", "(B) blue", "C", "(A)", "It is blue", "dark blue!", "It is colored blue", "The answer is (B)", "", "  red  ", "none of them"]
 _CHOICES = ("red", "blue", "dark blue")
 
@@ -168,28 +180,48 @@ ORACLES["answer_resolution"] = f"""WITH r AS (SELECT id::BIGINT AS id, trim(answ
     SELECT id, coalesce({_EXACT}, {_ONLY}, '') AS resolved FROM r"""
 
 
+def _brand_answers(sp, d):
+    """An answer about every part, in one of eight forms; the options are the brands of its type."""
+    part = table(sp, d, "part")
+    t = part.groupBy(F.col("p_type").alias("t")).agg(F.array_sort(F.collect_set("p_brand")).alias("c"))
+    rows = part.join(t, F.col("p_type") == F.col("t")).withColumn("l", F.char(F.array_position("c", F.col("p_brand")) + 64))
+    form = F.get(F.array(*map(F.lit, _FREE)), (F.col("p_partkey") % len(_FREE)).cast("int"))
+    said = F.replace(F.replace(form, F.lit("{x}"), F.col("p_brand")), F.lit("{l}"), F.col("l"))
+    return rows.select("p_partkey", evaluation.resolve_answer(said, F.col("c")).alias("resolved"))
+
+
+QUERIES["answers_about_parts"] = _brand_answers
+ORACLES["answers_about_parts"] = f"""WITH t AS (SELECT p_type, list_sort(list(DISTINCT p_brand)) AS c FROM part GROUP BY p_type),
+    q AS (SELECT p_partkey, c, trim(replace(replace([{", ".join(f"'{x}'" for x in _FREE)}][p_partkey % {len(_FREE)} + 1], '{{x}}', p_brand), '{{l}}', chr(CAST(64 + list_position(c, p_brand) AS INTEGER)))) AS a
+          FROM part JOIN t USING (p_type)),
+    f AS (SELECT *, list_transform(range(1, len(c) + 1), lambda i: chr(CAST(64 + i AS INTEGER))) AS letters FROM q),
+    g AS (SELECT *, list_transform(letters, lambda x: '(' || x || ')') AS brackets, list_transform(range(1, len(c) + 1), lambda i: '(' || letters[i] || ') ' || c[i]) AS options FROM f)
+    SELECT p_partkey, coalesce({", ".join(f"CASE WHEN list_position({x}, a) > 0 THEN c[list_position({x}, a)] END" for x in ("c", "options", "letters", "brackets"))},
+        {", ".join(f"CASE WHEN len(list_filter({x}, lambda y: contains(a, y))) = 1 THEN c[list_position({x}, list_filter({x}, lambda y: contains(a, y))[1])] END" for x in ("c", "options", "letters", "brackets"))}, '') AS resolved FROM g"""
+
+
 def _labels(sp, d):
     t = table(sp, d, "part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_brand")).alias("c"))
-    return t.select("p_type", F.array_join(relations.option_labels(F.slice("c", 1, 5)), " ").alias("options"))
+    return t.select("p_type", F.array_join(relations.option_labels(F.col("c")), " ").alias("options"))
 
 
 QUERIES["option_labels"] = _labels
 ORACLES["option_labels"] = """WITH b AS (SELECT DISTINCT p_type, p_brand FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_brand) AS r FROM b)
-    SELECT p_type, string_agg('(' || chr(CAST(64 + r AS INTEGER)) || ') ' || p_brand, ' ' ORDER BY r) AS options FROM k WHERE r <= 5 GROUP BY p_type"""
+    SELECT p_type, string_agg('(' || chr(CAST(64 + r AS INTEGER)) || ') ' || p_brand, ' ' ORDER BY r) AS options FROM k GROUP BY p_type"""
 QUERIES["shuffled_accuracy"] = lambda sp, d: evaluation.mean_accuracy(table(sp, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), (F.col("l_returnflag") != "R").alias("is_correct")), "task_id")
 ORACLES["shuffled_accuracy"] = "SELECT l_orderkey AS task_id, round(avg(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS trials FROM lineitem GROUP BY l_orderkey"
 
 
 # models: prompts over the catalog's types, cached inference and encoders
 def _asked(sp, d):
-    t = table(sp, d, "part").groupBy("p_type").agg(F.slice(F.array_sort(F.collect_set("p_brand")), 1, 4).alias("c"))
+    t = table(sp, d, "part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_brand")).alias("c"))
     q = models.prompt(F.concat(F.lit("Which brand makes "), "p_type", F.lit("?")), F.col("c"))
     return t.select("p_type", "c", q.alias("prompt")).withColumn("key", models.cache_key("baseline", F.col("p_type"), F.col("prompt")))
 
 
 _ASKED = """WITH b AS (SELECT DISTINCT p_type, p_brand FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_brand) AS r FROM b),
     a AS (SELECT p_type, 'Which brand makes ' || p_type || '?' || chr(10) || chr(10) || string_agg('(' || chr(CAST(64 + r AS INTEGER)) || ') ' || p_brand, chr(10) ORDER BY r) || chr(10) || 'Give the letter of the right option.' AS prompt
-          FROM k WHERE r <= 4 GROUP BY p_type),
+          FROM k GROUP BY p_type),
     q AS (SELECT p_type, prompt, sha256('baseline' || chr(31) || p_type || chr(31) || prompt) AS key FROM a)"""
 QUERIES["default_prompts"] = lambda sp, d: _asked(sp, d).select("p_type", "prompt", "key")
 ORACLES["default_prompts"] = _ASKED + " SELECT p_type, prompt, key FROM q"
@@ -211,5 +243,104 @@ QUERIES["sampled_names"] = lambda sp, d: models.sample_names(table(sp, d, "order
 ORACLES["sampled_names"] = f"""WITH n AS (SELECT o_orderkey AS id, 2 + ('0x' || substr({order_key_sql(f"'{SEED}'", "'n'", "o_orderkey")}, 1, 8))::BIGINT % 8 AS n FROM orders),
     r AS (SELECT id, n, x, row_number() OVER (PARTITION BY id ORDER BY {order_key_sql(f"'{SEED}'", "id", "x")}) AS r FROM n, (VALUES {", ".join(f"('{x}')" for x in _NAMES)}) t(x))
     SELECT id, string_agg(x, ',' ORDER BY r) AS names FROM r WHERE r <= n GROUP BY id"""
-QUERIES["task_embeddings"] = lambda sp, d: models.embed_tasks(table(sp, d, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_type").alias("layout_text"), F.col("p_name").alias("question"), F.col("p_brand").alias("answer")))
-QUERIES["choice_search"] = lambda sp, d: models.search_choice(_asked(sp, d).select(F.crc32("p_type").alias("id"), F.concat(F.lit("brand "), F.element_at("c", 1)).alias("answer"), F.col("c").alias("choices")))
+def _embedded_tasks(sp, d):
+    """The places and values, other than zero, of every task's embedding."""
+    t = table(sp, d, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_type").alias("layout_text"), F.col("p_name").alias("question"), F.col("p_brand").alias("answer"))
+    e = models.embed_tasks(t).select("task_id", F.posexplode("embedding").alias("place", "value"))
+    return e.filter("abs(value) > 1e-9").select("task_id", F.col("place").cast("long").alias("place"), F.round("value", 5).alias("value"))
+
+
+QUERIES["task_embeddings"] = _embedded_tasks
+ORACLES["task_embeddings"] = """WITH t AS (SELECT p_partkey AS task_id, k, '  ' || lower(x) || ' ' AS x FROM part, LATERAL (VALUES (0, p_type), (1, p_name), (2, p_brand)) v(k, x)),
+    g AS (SELECT task_id, k, (7919 * unicode(substr(x, i, 1)) + 104729 * unicode(substr(x, i + 1, 1)) + 1299709 * unicode(substr(x, i + 2, 1))) % 2147483648 AS h FROM t, LATERAL (SELECT unnest(range(1, length(x) - 1)) AS i)),
+    c AS (SELECT task_id, k, (h // 2) % 64 AS p, sum(2 * (h % 2) - 1)::DOUBLE AS n FROM g GROUP BY ALL),
+    u AS (SELECT task_id, k, p, n / sqrt(sum(n * n) OVER (PARTITION BY task_id, k)) AS n FROM c)
+    SELECT task_id, CAST(64 * k + p AS BIGINT) AS place, round(n / (sqrt(sum(n * n) OVER (PARTITION BY task_id)) + 1e-8), 5) AS value FROM u WHERE abs(n) > 1e-9"""
+
+
+def _searched(sp, d):
+    """An answer in capitals for each part: the brand of its type that it is most like."""
+    part = table(sp, d, "part")
+    t = part.groupBy(F.col("p_type").alias("t")).agg(F.array_sort(F.collect_set("p_brand")).alias("choices"))
+    rows = part.join(t, F.col("p_type") == F.col("t")).select(F.col("p_partkey").alias("id"), F.upper("p_brand").alias("answer"), "choices")
+    return models.search_choice(rows)
+
+
+QUERIES["choice_search"] = _searched
+ORACLES["choice_search"] = "SELECT p_partkey AS id, p_brand AS resolved FROM part"
+
+
+def _trials(sp, d):
+    """Three trials a type with shuffled brands, answered with the first option: right where the type's first brand comes first."""
+    t = table(sp, d, "part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_brand")).alias("options"))
+    rows = evaluation.shuffled_trials(t.withColumnRenamed("p_type", "task_id").withColumn("answer", F.element_at("options", 1)), 3, SEED)
+    said = evaluation.resolve_answer(F.lit("A"), F.col("options"))
+    return evaluation.mean_accuracy(rows.withColumn("is_correct", said == F.col("answer")), "task_id")
+
+
+QUERIES["shuffled_trials"] = _trials
+ORACLES["shuffled_trials"] = f"""WITH b AS (SELECT DISTINCT p_type, p_brand FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_brand) - 1 AS i FROM b),
+    t AS (SELECT p_type, trial, arg_min(i, ({order_key_sql(f"'{SEED}'", "p_type", "trial", "p_brand", "i")}, p_brand)) AS first FROM k, range(3) r(trial) GROUP BY p_type, trial)
+    SELECT p_type AS task_id, round(avg(CASE WHEN first = 0 THEN 1 ELSE 0 END), 6) AS accuracy, count(*) AS trials FROM t GROUP BY p_type"""
+
+
+# colours
+def _shown(sp, d, scheme):
+    p = points(sp, d)
+    return _rounded(visual.coloured(p, scheme, F.col("cloud_id")), "r", "g", "b", places=4).select("cloud_id", "pt", "r", "g", "b")
+
+
+def _rgb(parts) -> str:
+    return ", ".join(f"round({c}, 4) + 0.0 AS {n}" for n, c in zip("rgb", parts))
+
+
+_HL = ", s AS (SELECT *, {v} AS v FROM pts), q AS (SELECT cloud_id, min(v) AS lo, max(v) AS hi FROM s GROUP BY cloud_id), w AS (SELECT cloud_id, pt, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END AS t FROM s JOIN q USING (cloud_id)) SELECT cloud_id, pt, "
+_add("height_colours", lambda sp, d: _shown(sp, d, "height"), _HL.format(v="z") + _rgb(colours.scale_sql("t", "viridis")) + " FROM w")
+_add("depth_colours", lambda sp, d: _shown(sp, d, "depth"), _HL.format(v="sqrt(x * x + y * y + z * z)") + _rgb(colours.scale_sql("t", "plasma")) + " FROM w")
+_add("rainbow_colours", lambda sp, d: _shown(sp, d, "rainbow"), ", w AS (SELECT cloud_id, pt, percent_rank() OVER (PARTITION BY cloud_id ORDER BY pt) AS t FROM pts) SELECT cloud_id, pt, " + _rgb(colours.scale_sql("t", "hsv")) + " FROM w")
+for _s in ("uniform", "original", "no such scheme"):
+    _add(f"{_s.replace(' ', '_')}_colours", lambda sp, d, s=_s: _shown(sp, d, s), " SELECT cloud_id, pt, " + _rgb(colours.palette_sql("cloud_id")) + " FROM pts")
+_add(
+    "density_colours",
+    lambda sp, d: _rounded(visual.coloured(points(sp, d), "density"), "r", "g", "b", places=3).select("cloud_id", "pt", "r", "g", "b"),
+    ORACLES["point_density"].removeprefix(VIEWS_SQL).rsplit("SELECT cloud_id, pt", 1)[0]
+    + ", w AS (SELECT cloud_id, pt, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END AS t FROM m JOIN g USING (cloud_id)) SELECT cloud_id, pt, "
+    + _rgb(colours.scale_sql("t", "hot")).replace(", 4)", ", 3)")
+    + " FROM w",
+)
+
+
+def _cluster_summary(sp, d):
+    """How many clusters a cloud has, and whether every point is nearest to the mean of its own."""
+    found = clouds.clusters(points(sp, d)).withColumnsRenamed({"cloud_id": "c", "pt": "p"})
+    rows = points(sp, d).join(found, (F.col("cloud_id") == F.col("c")) & (F.col("pt") == F.col("p")))
+    mean = rows.groupBy(F.col("cloud_id").alias("m_cloud"), F.col("cluster").alias("m")).agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
+    away = rows.join(mean, F.col("cloud_id") == F.col("m_cloud")).withColumn("d2", sum(((F.col(a) - F.col(f"m{a}")) * (F.col(a) - F.col(f"m{a}")) for a in "xyz"), F.lit(0.0)))
+    best = away.groupBy("cloud_id", "pt").agg(F.min("d2").alias("least"), F.min(F.when(F.col("m") == F.col("cluster"), F.col("d2"))).alias("own"))
+    near = best.groupBy(F.col("cloud_id").alias("b_cloud")).agg(F.count_if(F.col("own") > F.col("least") + 1e-4).alias("misplaced"))
+    return rows.groupBy("cloud_id").agg(F.count("*").alias("n_points"), F.count_distinct("cluster").alias("n_clusters")).join(near, F.col("cloud_id") == F.col("b_cloud")).select("cloud_id", "n_points", "n_clusters", "misplaced")
+
+
+_add("cluster_summary", _cluster_summary, " SELECT cloud_id, count(*) AS n_points, CAST(least(8, greatest(2, count(*) // 200)) AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS misplaced FROM pts GROUP BY cloud_id")
+_add(
+    "normal_summary",
+    lambda sp, d: clouds.normals(points(sp, d)).groupBy("cloud_id").agg(F.count("*").alias("n_points"), F.count_if(F.abs(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz") - 1) < 1e-9).alias("of_length_one")),
+    " SELECT cloud_id, count(*) AS n_points, count(*) AS of_length_one FROM pts GROUP BY cloud_id",
+)
+_add(
+    "cloud_details",
+    lambda sp, d: _rounded(geometry.details(points(sp, d)), *[f"{f}_{c}" for c in "xyz" for f in ("min", "max", "center")], places=4),
+    ", b AS (SELECT cloud_id, count(*) AS n_points, false AS has_colors, false AS has_normals, "
+    + ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}, avg({c}) AS center_{c}" for c in "xyz")
+    + " FROM pts GROUP BY ROLLUP (cloud_id)) SELECT cloud_id, n_points, has_colors, has_normals, "
+    + ", ".join(f"round({f}_{c}, 4) + 0.0 AS {f}_{c}" for c in "xyz" for f in ("min", "max", "center"))
+    + " FROM b",
+)
+_add(
+    "cloud_resample",
+    lambda sp, d: visual.resampled(points(sp, d), 300, SEED).select("cloud_id", "place", "pt"),
+    f""", k AS (SELECT cloud_id, pt, row_number() OVER (PARTITION BY cloud_id ORDER BY {order_key_sql(f"'{SEED}'", "cloud_id", "pt")}, pt) - 1 AS place FROM pts),
+    h AS (SELECT cloud_id, count(*) AS have FROM pts GROUP BY cloud_id HAVING count(*) < 300),
+    r AS (SELECT cloud_id, p AS place, CAST(floor({uniform_sql(f"'{SEED}'", "'again'", "cloud_id", "p")} * have) AS BIGINT) AS o FROM h, LATERAL (SELECT unnest(range(have, 300)) AS p))
+    SELECT cloud_id, place, pt FROM k WHERE place < 300 UNION ALL SELECT k.cloud_id, r.place, pt FROM r JOIN k ON k.cloud_id = r.cloud_id AND k.place = r.o""",
+)

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..enums import RELATIONS, SIZES
+from ..enums import MOST_OBJECTS, RELATIONS, SIZES
 from ..functions import relations
-from ..operators import dsl, solver
+from ..operators import dsl, geometry, solver
 from .views import SEED, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,20 +75,24 @@ def _responses() -> list[tuple[int, str]]:
     return list(enumerate(texts))
 
 
-def _table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_responses(), "id long, response string")
+def _table(spark: SparkSession, d: str) -> DataFrame:
+    """A response for every order, one of the cases in turn; its lamp is named by the customer."""
+    cases = spark.createDataFrame(_responses(), "case_ long, text_ string")
+    rows = table(spark, d, "orders").join(F.broadcast(cases), F.col("o_orderkey") % len(_responses()) == F.col("case_"))
+    return rows.select(F.col("o_orderkey").alias("id"), F.replace("text_", F.lit("lamp"), F.concat(F.lit("lamp"), (F.col("o_custkey") % 9).cast("string"))).alias("response"))
 
 
 def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_VALUES = "(VALUES " + ", ".join(f"({i}::BIGINT, {_sql_text(t)})" for i, t in _responses()) + ") AS r(id, response)"
+_VALUES = "(VALUES " + ", ".join(f"({i}::BIGINT, {_sql_text(t)})" for i, t in _responses()) + ") AS c(case_, text_)"
+_VALUES = f"(SELECT o_orderkey AS id, replace(text_, 'lamp', 'lamp' || (o_custkey % 9)) AS response FROM orders JOIN {_VALUES} ON o_orderkey % {len(_responses())} = case_)"
 _LIST = lambda names: "[" + ", ".join(f"''{n}''" for n in names) + "]"
 _IN = lambda names: "(" + ", ".join(_sql_text(n) for n in names) + ")"
 
 _EXTRACT = r"""
-    WITH r AS (SELECT * FROM {values}),
+    WITH r AS (SELECT id, response FROM {values}),
     x AS (SELECT id, response, CASE WHEN b <> '' THEN b ELSE response END AS text
           FROM (SELECT *, regexp_extract(response, '```(?:json)?\s*(\{{.*?\}})\s*```', 1, 's') AS b FROM r))
 """.format(values=_VALUES)
@@ -127,31 +131,31 @@ _ERRORS = _DSL + f""", n AS (SELECT id, i, o->>'name' AS name, o->>'size' AS siz
     v AS (SELECT r.id, arg_min(m, (s, e.i, k)) AS error FROM r LEFT JOIN e USING (id) GROUP BY r.id)
 """
 
-QUERIES["dsl_extract_json"] = lambda sp, d: _table(sp).select("id", dsl.extract_json(F.col("response")).alias("json"))
+QUERIES["dsl_extract_json"] = lambda sp, d: _table(sp, d).select("id", dsl.extract_json(F.col("response")).alias("json"))
 ORACLES["dsl_extract_json"] = _EXTRACT + " SELECT id, text AS json FROM x"
-QUERIES["dsl_validate"] = lambda sp, d: dsl.validate(_table(sp)).select("id", "is_valid", "error")
+QUERIES["dsl_validate"] = lambda sp, d: dsl.validate(_table(sp, d)).select("id", "is_valid", "error")
 ORACLES["dsl_validate"] = _ERRORS + " SELECT id, error IS NULL AS is_valid, error FROM v"
 
 
-def _valid(sp: SparkSession) -> DataFrame:
-    return dsl.parse(dsl.validate(_table(sp)))
+def _valid(sp: SparkSession, d: str) -> DataFrame:
+    return dsl.parse(dsl.validate(_table(sp, d)))
 
 
-QUERIES["layout_in_degree"] = lambda sp, d: dsl.in_degree(_valid(sp), "id")
+QUERIES["layout_in_degree"] = lambda sp, d: dsl.in_degree(_valid(sp, d), "id")
 ORACLES["layout_in_degree"] = _ERRORS + """
     SELECT n.id, n.name, count(q.id) AS in_degree FROM n JOIN v ON v.id = n.id AND error IS NULL LEFT JOIN q ON q.id = n.id AND (q.q->>'subject') = n.name GROUP BY n.id, n.name"""
 
 
 def _depth(sp: SparkSession, d: str) -> DataFrame:
     """The longest chain of references that leads to each object, 0 for one without any; at most nine links, as there are nine objects."""
-    valid = _valid(sp)
-    valid.select("id", F.explode("scene.objects").alias("o")).select("id", F.col("o.name").alias("name")).createOrReplaceTempView("depth_objects")
-    dsl.edges(valid, "id").createOrReplaceTempView("depth_edges")
-    return sp.sql("""
-        WITH RECURSIVE w AS (
-            SELECT id, name, CAST(0 AS BIGINT) AS depth FROM depth_objects
-            UNION ALL SELECT w.id, e.subject, w.depth + 1 FROM w JOIN depth_edges e ON w.id = e.id AND w.name = e.reference WHERE w.depth < 9
-        ) SELECT id, name, max(depth) AS depth FROM w GROUP BY id, name""")
+    valid = _valid(sp, d)
+    depth = valid.select("id", F.explode("scene.objects").alias("o")).select("id", F.col("o.name").alias("name"), F.lit(0).cast("long").alias("depth"))
+    edges = dsl.edges(valid, "id").select(F.col("id").alias("e_id"), "reference", "subject")
+    reached = depth
+    for _ in range(MOST_OBJECTS):  # a chain has as many links as there are objects at most
+        reached = reached.join(edges, (F.col("id") == F.col("e_id")) & (F.col("name") == F.col("reference"))).groupBy("id", F.col("subject").alias("name")).agg((F.max("depth") + 1).alias("depth"))
+        depth = depth.unionByName(reached)
+    return depth.groupBy("id", "name").agg(F.max("depth").alias("depth"))
 
 
 QUERIES["layout_depth"] = _depth
@@ -159,7 +163,7 @@ ORACLES["layout_depth"] = _ERRORS.replace("WITH r AS", "WITH RECURSIVE r AS", 1)
     ed AS (SELECT q.id, q->>'reference' AS reference, q->>'subject' AS subject FROM q JOIN v USING (id) WHERE error IS NULL),
     w AS (SELECT id, name, 0::BIGINT AS depth FROM ob UNION ALL SELECT w.id, ed.subject, w.depth + 1 FROM w JOIN ed ON w.id = ed.id AND w.name = ed.reference WHERE w.depth < 9)
     SELECT id, name, max(depth) AS depth FROM w GROUP BY id, name"""
-QUERIES["template_abstract"] = lambda sp, d: dsl.abstract(_valid(sp)).select("id", "template.description", F.array_join(F.transform("template.objects", lambda o: o["name"]), ",").alias("names"))
+QUERIES["template_abstract"] = lambda sp, d: dsl.abstract(_valid(sp, d)).select("id", "template.description", F.array_join(F.transform("template.objects", lambda o: o["name"]), ",").alias("names"))
 ORACLES["template_abstract"] = _ERRORS.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + r""", f AS (
         SELECT t.id, 0::BIGINT AS k, description FROM t JOIN v USING (id) WHERE error IS NULL
         UNION ALL SELECT f.id, k + 1, regexp_replace(f.description, '\b' || n.name || '\b', '[obj_' || k || ']', 'gi') FROM f JOIN n ON n.id = f.id AND n.i = f.k),
@@ -168,26 +172,30 @@ ORACLES["template_abstract"] = _ERRORS.replace("WITH r AS", "WITH RECURSIVE r AS
 
 
 def _fill(sp: SparkSession, d: str) -> DataFrame:
-    """Every conversation turn as a template: its role in place of a marker."""
-    t = table(sp, d, "conversations").filter("text is not null")
-    names = F.array(F.struct(F.lit("obj_0").alias("placeholder"), F.col("role").alias("name")), F.struct(F.lit("obj_1").alias("placeholder"), F.lit("table").alias("name")))
-    text = F.concat(F.lit("The [obj_0] said at the [obj_1]: "), F.substring("text", 1, 40), F.lit(" [obj_0]"))
-    return t.select("conv_id", "turn", relations.fill_placeholders(text, names).alias("filled"))
-
-
-QUERIES["placeholder_fill"] = _fill
-ORACLES["placeholder_fill"] = """SELECT conv_id, turn, replace(replace('The [obj_0] said at the [obj_1]: ' || substr(text, 1, 40) || ' [obj_0]', '[obj_0]', role), '[obj_1]', 'table') AS filled
-    FROM conversations WHERE text IS NOT NULL"""
-
-
-def _fill_whole(sp: SparkSession, d: str) -> DataFrame:
-    """Like ``placeholder_fill``, of every turn with its whole text; null counts as empty."""
+    """Every conversation turn as a template, with its role in place of a marker; null counts as empty."""
     names = F.array(F.struct(F.lit("obj_0").alias("placeholder"), F.col("role").alias("name")), F.struct(F.lit("obj_1").alias("placeholder"), F.lit("table").alias("name")))
     text = F.concat(F.lit("The [obj_0] said at the [obj_1]: "), F.coalesce("text", F.lit("")), F.lit(" [obj_0]"))
     return table(sp, d, "conversations").select("conv_id", "turn", relations.fill_placeholders(text, names).alias("filled"))
 
 
-QUERIES["placeholder_fill_whole"] = _fill_whole
-ORACLES["placeholder_fill_whole"] = """SELECT conv_id, turn, replace(replace('The [obj_0] said at the [obj_1]: ' || coalesce(text, '') || ' [obj_0]', '[obj_0]', role), '[obj_1]', 'table') AS filled
+QUERIES["placeholder_fill"] = _fill
+ORACLES["placeholder_fill"] = """SELECT conv_id, turn, replace(replace('The [obj_0] said at the [obj_1]: ' || coalesce(text, '') || ' [obj_0]', '[obj_0]', role), '[obj_1]', 'table') AS filled
     FROM conversations"""
-QUERIES["solve_layouts"] = lambda sp, d: solver.solve_templates(_valid(sp).withColumnRenamed("id", "template_id"), 8, SEED)
+def _solved(sp: SparkSession, d: str) -> DataFrame:
+    """What is wrong with the placements of every different template in eight variants: objects missing, out of bounds, or colliding. An unsolved one has none."""
+    texts = F.to_json("template")
+    one = dsl.abstract(_valid(sp, d)).groupBy(texts.alias("text")).agg(F.min("id").alias("template_id"), F.first("template").alias("scene"))
+    placed = solver.solve_templates(one, 8, SEED).cache()
+    own = placed.select((F.col("template_id") * 8 + F.col("variant")).alias("scene_id"), F.col("place_idx").alias("idx"), "x", "y", "z", "hx", "hy", "hz")
+    out = own.filter(~geometry.in_bounds()).groupBy("scene_id").agg(F.count("*").alias("out"))
+    hit = geometry.collisions(own).groupBy("scene_id").agg(F.count("*").alias("collisions"))
+    by = placed.groupBy("template_id", "variant").agg(F.min("solved").alias("solved"), F.count("place_idx").alias("n_objects")).withColumn("scene_id", F.col("template_id") * 8 + F.col("variant"))
+    made = by.join(one.select("template_id", F.size("scene.objects").alias("wanted")), "template_id").join(out, "scene_id", "left").join(hit, "scene_id", "left")
+    wrong = F.when(F.col("solved"), F.abs(F.col("wanted") - F.col("n_objects")) + F.coalesce("out", F.lit(0)) + F.coalesce("collisions", F.lit(0))).otherwise(F.col("n_objects"))
+    return made.select("template_id", F.col("variant").cast("long").alias("variant"), wrong.cast("long").alias("wrong"))
+
+
+QUERIES["solve_layouts"] = _solved
+# the first three cases are one template; the other valid ones are one each
+ORACLES["solve_layouts"] = _ERRORS + """, te AS (SELECT min(id) AS template_id FROM v WHERE error IS NULL GROUP BY CASE WHEN id % 31 < 3 THEN 0 ELSE id % 31 END)
+    SELECT template_id, variant, CAST(0 AS BIGINT) AS wrong FROM te, range(8) r(variant)"""

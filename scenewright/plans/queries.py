@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cloud_queries, layout_queries, scene_queries
+from . import cloud_queries, file_queries, layout_queries, scene_queries
 
-_PARTS = (scene_queries, layout_queries, cloud_queries)
+_PARTS = (scene_queries, layout_queries, cloud_queries, file_queries)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: q for part in _PARTS for name, q in part.ORACLES.items()}

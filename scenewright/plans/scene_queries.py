@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..enums import ATTRIBUTES, RELATIONS
 from ..functions import distractors, relations
 from ..operators import generators as g
 from ..operators import scenes as s
-from ..rng import order_key, order_key_sql, uniform_sql
+from ..rng import order_key_sql, uniform, uniform_sql
 from .views import SEED, VIEWS_SQL, catalog, components, numbered, scene_objects, splits, splits_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,7 +263,8 @@ def _name_candidates(sp, d, objects=None):
     own = objects.groupBy("scene_id").agg(F.collect_set("object_name").alias("own"))
     names = catalog(sp, d)
     size = names.count()
-    drawn = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.floor(F.conv(F.substring(order_key(SEED, "name", F.col("scene_id"), i), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0) * size).cast("long")))
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.floor(uniform(SEED, "name", F.col("scene_id"), i) * size).cast("long"))
+    drawn = F.array_distinct(F.concat(hashed, F.transform(F.sequence(F.lit(1), F.lit(12)), lambda j: (hashed[0] + j) % size)))
     more = found.select("scene_id", F.posexplode(drawn).alias("p", "ord")).join(names.select("ord", "object_name"), "ord")
     more = more.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "object_name"))), lambda x: x["object_name"]).alias("more"))
     rows = found.join(own, "scene_id").join(more, "scene_id")
@@ -277,7 +278,8 @@ _NAMES_SQL = f""", b AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDE
     o1 AS (SELECT DISTINCT so.scene_id, object_name AS w FROM so JOIN f USING (scene_id) WHERE object_name <> answer),
     o2 AS (SELECT scene_id, w, 0 AS part, {order_key_sql(f"'{SEED}'", "scene_id", "'pick'", "w")} AS k FROM o1),
     d0 AS (SELECT scene_id, i, CAST(floor({uniform_sql(f"'{SEED}'", "'name'", "scene_id", "i")} * (SELECT count(*) FROM cat)) AS BIGINT) AS ord FROM f, range(12) t(i)),
-    d1 AS (SELECT scene_id, ord, min(i) AS i FROM d0 GROUP BY scene_id, ord),
+    d0r AS (SELECT scene_id, i, ord FROM d0 UNION ALL SELECT scene_id, 11 + j, (ord + j) % (SELECT count(*) FROM cat) FROM d0, range(1, 13) t(j) WHERE i = 0),
+    d1 AS (SELECT scene_id, ord, min(i) AS i FROM d0r GROUP BY scene_id, ord),
     d2 AS (SELECT scene_id, object_name AS w, 1 AS part, lpad(CAST(i AS VARCHAR), 3, '0') AS k FROM d1 JOIN cat USING (ord)
            WHERE NOT EXISTS (SELECT 1 FROM so WHERE so.scene_id = d1.scene_id AND so.object_name = cat.object_name)),
     al AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY part, k) AS r FROM (SELECT * FROM o2 UNION ALL SELECT * FROM d2)),
@@ -342,33 +344,7 @@ _add(
 )
 
 
-def _records(sp, d, wanted: int = 1000):
-    """Task records of the first ``wanted`` tasks by scene: the limit is the number of tasks asked for."""
-    objects, n = scene_objects(sp, d), 2 * wanted
-    ids = objects.select("scene_id").distinct()
-    total = ids.count()
-    while True:  # the first scenes, twice as many while they give too few tasks
-        some = ids.orderBy("scene_id").limit(n)
-        first = _options(sp, d, objects.join(some, "scene_id", "left_semi")).orderBy("scene_id").limit(wanted)
-        if n >= total or first.count() == wanted:
-            break
-        n *= 2
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("scene_id")) - 1
-    made = first.withColumn("question_id", number.cast("long"))
-    point = F.concat(F.lpad(F.col("question_id").cast("string"), 6, "0"), F.lit(".npy"))
-    return made.select("question_id", point.alias("point"), relations.category(F.lit("what_size"), F.lit(None).cast("string")).alias("category"), "question", F.array_join("options", "|").alias("options"), "answer")
-
-
-_add(
-    "task_records",
-    _records,
-    _OPTIONS_SQL
-    + """, l AS (SELECT *, row_number() OVER (ORDER BY scene_id) - 1 AS question_id FROM op)
-    SELECT question_id, lpad(CAST(question_id AS VARCHAR), 6, '0') || '.npy' AS point, 'what_size_' AS category, question, array_to_string(options, '|') AS options, answer FROM l WHERE question_id < 1000""",
-)
-
-
-def _every_record(sp, d):
+def _records(sp, d):
     """Task records of every scene that has options, numbered by scene."""
     made = numbered(_options(sp, d), "scene_id", "question_id")
     number = F.col("question_id").cast("string")
@@ -376,14 +352,13 @@ def _every_record(sp, d):
     return made.select("question_id", point.alias("point"), relations.category(F.lit("what_size"), F.lit(None).cast("string")).alias("category"), "question", F.array_join("options", "|").alias("options"), "answer")
 
 
-_add(
-    "task_records_all",
-    _every_record,
+RECORDS_SQL = (
     _OPTIONS_SQL
     + """, l AS (SELECT *, row_number() OVER (ORDER BY scene_id) - 1 AS question_id FROM op)
     SELECT question_id, CASE WHEN question_id < 1000000 THEN lpad(CAST(question_id AS VARCHAR), 6, '0') ELSE CAST(question_id AS VARCHAR) END || '.npy' AS point,
-           'what_size_' AS category, question, array_to_string(options, '|') AS options, answer FROM l""",
+           'what_size_' AS category, question, array_to_string(options, '|') AS options, answer FROM l"""
 )
+_add("task_records", _records, RECORDS_SQL)
 
 
 # geometry of layouts

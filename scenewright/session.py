@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,6 +32,29 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return session
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one in local mode; deleted when the driver's Python ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="files-")
+    path = f"{at.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if path.startswith("/"):
+        path = "file://" + path
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone; the folder's owner cleans up then
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application."""
     app = spark.sparkContext.applicationId

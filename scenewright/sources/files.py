@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def catalog_components(catalog: DataFrame) -> DataFrame:
     return rows.select("object_id", "object_name", F.col("c.name").alias("component"), "c.material", "c.color", "c.shape", "c.texture")
 
 
-def read_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """The layouts of a JSON array document."""
-    return spark.read.schema(LAYOUT).json(path, multiLine=True)
+def read_layouts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The layouts of a JSON array document, or of a folder of JSON lines, which is read in parallel."""
+    return spark.read.schema(LAYOUT).json(path, multiLine=not lines)
 
 
 def split_layouts(layouts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,21 +92,51 @@ def parse_points(name: str, data: bytes) -> np.ndarray:
 POINTS = "cloud_id string, pt long, x double, y double, z double, r double, g double, b double"
 
 
+def list_clouds(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(cloud_id, path) of a folder's point files: the id is the name without its suffix; of several suffixes the last by name counts."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+    return files.groupBy(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("cloud_id")).agg(F.max("path").alias("path"))
+
+
 def read_points(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(cloud_id, pt, x, y, z, r, g, b) of all point files in a folder; the id is the file's name without its suffix.
 
-    Colours above 1 are taken as of 255; a file without them is black. A file that can't be read fails the read.
+    Of files that differ in their suffix only, the last by name counts. Colours above 1 are taken as of 255; a file without them has null
+    colours. A file that can't be read fails the read.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    named = list_clouds(spark, path, glob).select(F.col("path").alias("own"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, data in zip(batch["path"], batch["content"]):
                 name = at.rsplit("/", 1)[-1]
                 p = parse_points(name, data)
-                rgb = p[:, 3:6] if p.shape[1] >= 6 else np.zeros((len(p), 3))
-                if rgb.max(initial=0) > 1:
+                rgb = p[:, 3:6] if p.shape[1] >= 6 else np.full((len(p), 3), np.nan)
+                if p.shape[1] >= 6 and rgb.max(initial=0) > 1:
                     rgb = rgb / 255
                 yield pd.DataFrame({"cloud_id": name.rsplit(".", 1)[0], "pt": np.arange(len(p)), **dict(zip("xyz", p[:, :3].T)), **dict(zip("rgb", rgb.T))})
 
-    return files.mapInPandas(each, POINTS)
+    made = files.join(named, F.col("path") == F.col("own"), "left_semi").mapInPandas(each, POINTS)
+    return made.withColumns({c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in "rgb"})
+
+
+def read_cloud(spark: SparkSession, folder: str, cloud_id: str) -> DataFrame:
+    """The points of one file ``folder``/``cloud_id``.npy; FileNotFoundError if there is none."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{root}/{cloud_id}.npy").type != pafs.FileType.File:
+        raise FileNotFoundError(f"there is no cloud {cloud_id!r} in {folder}")
+    return read_points(spark, f"{folder}/{cloud_id}.npy")
+
+
+def as_points(data) -> np.ndarray:
+    """The points of an array, of anything that has ``numpy()`` or ``cpu().numpy()``, or of the path of an .npy file; ValueError for others."""
+    if isinstance(data, np.ndarray):
+        return data
+    if hasattr(data, "cpu"):
+        data = data.cpu()
+    if callable(getattr(data, "numpy", None)):
+        return data.numpy()
+    if isinstance(data, str) and data.endswith(".npy") and os.path.exists(data):
+        return np.load(data, allow_pickle=False)
+    raise ValueError(f"no points in {type(data).__name__}")

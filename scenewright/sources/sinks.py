@@ -65,10 +65,16 @@ def task_info(plan: TaskPlan, requested: int, generated: int, folder: str) -> di
     return info
 
 
-def write_results(results: DataFrame, stats: DataFrame, config: dict, folder: str) -> None:
-    """Evaluation results as JSON lines, and ``stats`` (one row) with the configuration as one document."""
-    results.write.mode("overwrite").json(f"{folder}/results")
-    write_document(f"{folder}/results_info.json", {"config": config, "stats": stats.first().asDict()})
+def write_results(results: DataFrame, stats: dict, config: dict, folder: str) -> None:
+    """``folder``/results.json: configuration, stats, and the results in their order. Results are streamed, not held."""
+    fs, at = pafs.FileSystem.from_uri(f"{folder}/results.json")
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    lines = results.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).toLocalIterator()
+    with fs.open_output_stream(at, compression=None) as out:
+        out.write(f'{{"config": {json.dumps(config)},\n"stats": {json.dumps(stats)},\n"results": [\n'.encode())
+        for k, r in enumerate(lines):
+            out.write((b",\n" if k else b"") + r.line.encode())
+        out.write(b"\n]}\n")
 
 
 def write_hard_data(hard: DataFrame, seed: int, folder: str) -> int:
