@@ -177,10 +177,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
 
     def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(features(*buffers(batch.column(1))) @ weights), batch.column(0)], ["z", "quality"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features(*buffers(batch.column(1))) @ weights)], ["doc_id", "z"])
 
-    every = Cut(docs.sparkSession)
-    scored = every(own.join(usable, F.col("doc_id") == F.col("l_id")).select("quality", "text").mapInArrow(latent, "z double, quality int"), "latent")
+    # every document is scored where it lies; ids, scores and labels meet, texts never move
+    every, key = Cut(docs.sparkSession), own.schema["doc_id"].dataType.simpleString()
+    scored = own.mapInArrow(latent, f"doc_id {key}, z double").join(usable, F.col("doc_id") == F.col("l_id"))
+    scored = every(scored.select("z", "quality"), "latent")
     bad, n = scored.agg(F.count_if(F.col("quality") == 0), F.count("*")).first()
     threshold = quantile(scored, bad / n)
     every.free(scored)
