@@ -223,31 +223,18 @@ def _inputs(sp: SparkSession, d: str) -> generate.Inputs:
     return generate.Inputs(sp, _catalog(sp, d), _layouts(sp, d))
 
 
-def _generated(sp: SparkSession, d: str) -> DataFrame:
-    """Eight tasks of every question type in its first configuration: how many there are, and how many break a rule."""
-    inputs, made = _inputs(sp, d), None
-    for kind in sorted(generate.KINDS):
-        plan = generate.TaskPlan(kind, 4, SEED, generate.KINDS[kind][0])
-        t = generate.tasks(inputs, plan, 8)
-        wrong = (F.size("options") != 4) | (F.size(F.array_distinct("options")) != 4) | ~F.array_contains("options", F.col("answer")) | (F.col("point") != generate.point_file(F.col("question_id")))
-        one = t.agg(F.count("*").alias("n_tasks"), F.count_if(wrong).alias("broken"), F.sum("question_id").alias("numbers")).select(F.lit(kind).alias("generator_type"), "n_tasks", "broken", "numbers")
-        made = one if made is None else made.unionByName(one)
-    return made
-
-
 _KIND_LIST = ", ".join(f"('{k}')" for k in sorted(generate.KINDS))
-QUERIES["generated_tasks"] = _generated
-ORACLES["generated_tasks"] = f"SELECT generator_type, CAST(8 AS BIGINT) AS n_tasks, CAST(0 AS BIGINT) AS broken, CAST(28 AS BIGINT) AS numbers FROM (VALUES {_KIND_LIST}) t(generator_type)"
 
 
 def _pool(sp: SparkSession, d: str) -> DataFrame:
-    """A pool of 60 tasks: the quota of each type, dense numbers, a description for each."""
-    made = pool.candidate_pool(_inputs(sp, d), 60, SEED).cache()
-    return made.groupBy("generator_type").agg(F.count("*").alias("n_tasks"), F.count_if(F.col("task_id").between(0, 59)).alias("numbered"), F.count_if(F.contains("layout_text", F.lit("["))).alias("unfilled"))
+    """A pool of 60 tasks of all question types: how many each type has, with a number of the pool, whose options break a rule, and whose description isn't filled."""
+    made = pool.candidate_pool(_inputs(sp, d), 60, SEED)
+    broken = (F.size("options") != 4) | (F.size(F.array_distinct("options")) != 4) | ~F.array_contains("options", F.col("answer")) | (F.size("scene_objects") < 2)
+    return made.groupBy("generator_type").agg(F.count("*").alias("n_tasks"), F.count_if(F.col("task_id").between(0, 59)).alias("numbered"), F.count_if(broken).alias("broken"), F.count_if(F.contains("layout_text", F.lit("["))).alias("unfilled"))
 
 
 QUERIES["candidate_pool"] = _pool
-ORACLES["candidate_pool"] = f"SELECT generator_type, CAST(4 AS BIGINT) AS n_tasks, CAST(4 AS BIGINT) AS numbered, CAST(0 AS BIGINT) AS unfilled FROM (VALUES {_KIND_LIST}) t(generator_type)"
+ORACLES["candidate_pool"] = f"SELECT generator_type, CAST(4 AS BIGINT) AS n_tasks, CAST(4 AS BIGINT) AS numbered, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS unfilled FROM (VALUES {_KIND_LIST}) t(generator_type)"
 
 
 def _evaluated(sp: SparkSession, d: str) -> DataFrame:

@@ -24,21 +24,28 @@ from ..sources.files import catalog_components, layout_objects, split_layouts
 
 
 class Inputs:
-    """A catalog (object_id, object_name, components) and layouts, prepared once for many plans."""
+    """A catalog (object_id, object_name, components) and layouts, prepared once for many plans: numbered, and kept in memory while they are used."""
 
     def __init__(self, spark: SparkSession, catalog: DataFrame, layouts: DataFrame):
         self.spark = spark
         w = Window.partitionBy(F.lit(0)).orderBy("object_id")
-        self.catalog = catalog.select((F.row_number().over(w) - 1).cast("long").alias("ord"), "object_id", "object_name")
+        self.catalog = catalog.select((F.row_number().over(w) - 1).cast("long").alias("ord"), "object_id", "object_name").cache()
         by_object = catalog_components(catalog)
         #: Values by object id, under the name that the scene operators join on.
-        self.values = s.component_values(by_object.drop("object_name").withColumnRenamed("object_id", "object_name"))
+        self.values = s.component_values(by_object.drop("object_name").withColumnRenamed("object_id", "object_name")).cache()
         self.components = by_object
-        self.vocabulary = s.vocabulary(self.values).select("attribute", F.col("values").alias("vocab"))
+        self.vocabulary = s.vocabulary(self.values).select("attribute", F.col("values").alias("vocab")).cache()
         #: The first object of each name: questions about kinds ask for its attributes.
         self.by_name = self.catalog.groupBy(F.col("object_name").alias("target_name")).agg(F.min_by("object_id", "ord").alias("target_id"))
         standard, special = split_layouts(layouts)
-        self.standard, self.special = self._numbered(standard), self._numbered(special)
+        self.standard, self.special = self._numbered(standard).cache(), self._numbered(special).cache()
+        self._sizes: dict[int, int] = {}
+
+    def size(self, layouts: DataFrame) -> int:
+        """How many layouts there are, counted once."""
+        if id(layouts) not in self._sizes:
+            self._sizes[id(layouts)] = layouts.count()
+        return self._sizes[id(layouts)]
 
     @staticmethod
     def _numbered(layouts: DataFrame) -> DataFrame:
@@ -48,7 +55,7 @@ class Inputs:
 
 def attempts(inputs: Inputs, layouts: DataFrame, seed: int, first: int, last: int) -> DataFrame:
     """(scene_id, layout_id, description, n, idx, ..., object_id, object_name): scenes of the attempts from ``first`` to before ``last``."""
-    total = layouts.count()
+    total = inputs.size(layouts)
     ids = inputs.spark.range(first, last).select(F.col("id").alias("scene_id"))
     if not total:
         ids = ids.limit(0)
