@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..enums import MOST_OBJECTS, RELATIONS, SIZES
 from ..functions import relations
 from ..operators import dsl, geometry, solver
+from ..session import scratch
 from .views import SEED, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,13 +150,17 @@ ORACLES["layout_in_degree"] = _ERRORS + """
 def _depth(sp: SparkSession, d: str) -> DataFrame:
     """The longest chain of references that leads to each object, 0 for one without any; at most nine links, as there are nine objects."""
     valid = _valid(sp, d)
-    depth = valid.select("id", F.explode("scene.objects").alias("o")).select("id", F.col("o.name").alias("name"), F.lit(0).cast("long").alias("depth"))
-    edges = dsl.edges(valid, "id").select(F.col("id").alias("e_id"), "reference", "subject")
-    reached = depth
-    for _ in range(MOST_OBJECTS):  # a chain has as many links as there are objects at most
-        reached = reached.join(edges, (F.col("id") == F.col("e_id")) & (F.col("name") == F.col("reference"))).groupBy("id", F.col("subject").alias("name")).agg((F.max("depth") + 1).alias("depth"))
-        depth = depth.unionByName(reached)
-    return depth.groupBy("id", "name").agg(F.max("depth").alias("depth"))
+    objects = valid.select("id", F.explode("scene.objects").alias("o")).select("id", F.col("o.name").alias("name"))
+    at, edges = scratch(sp, "depth"), dsl.edges(valid, "id")
+    objects.write.parquet(f"{at}/objects")  # each step of the recursion reads them
+    edges.write.parquet(f"{at}/edges")
+    objects, edges = sp.read.schema(objects.schema).parquet(f"{at}/objects"), sp.read.schema(edges.schema).parquet(f"{at}/edges")
+    text = f"""
+        WITH RECURSIVE w AS (
+            SELECT id, name, CAST(0 AS BIGINT) AS depth FROM {{objects}}
+            UNION ALL SELECT w.id, e.subject, w.depth + 1 FROM w JOIN {{edges}} e ON w.id = e.id AND w.name = e.reference WHERE w.depth < {MOST_OBJECTS}
+        ) SELECT id, name, max(depth) AS depth FROM w GROUP BY id, name"""
+    return sp.sql(text, objects=objects, edges=edges)
 
 
 QUERIES["layout_depth"] = _depth
