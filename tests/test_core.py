@@ -156,10 +156,18 @@ def test_options(spark):
     assert 0 <= min(u) and max(u) < 1 and 0.4 < sum(u) / len(u) < 0.6
 
 
+def cases(spark):
+    return spark.createDataFrame(layout_queries._responses(), "id long, response string")
+
+
+def solved(spark):
+    return solver.solve_templates(dsl.parse(dsl.validate(cases(spark))).withColumnRenamed("id", "template_id"), 8, 42)
+
+
 def test_descriptions_fail_by_the_first_rule(spark):
     want = {0: None, 1: None, 2: None, 3: None, 4: None, 29: None}
     part = {5: "Invalid JSON", 6: "Invalid JSON", 7: "'description'", 10: "got 1", 11: "got 10", 12: "missing required field 'rotation'", 17: "invalid size 'huge'", 18: "'rotation' must be a number", 19: "'largest'", 20: "'smallest'", 24: "reference 'floor' not found", 26: "cannot be the same", 27: "invalid relation 'inside'", 28: "object name 'lamp'", 30: "different"}
-    got = {r.id: r.error for r in layout_queries.QUERIES["dsl_validate"](spark, "").collect()}
+    got = {r.id: r.error for r in dsl.validate(cases(spark)).collect()}
     assert {k for k, v in got.items() if v is None} == set(want)
     for k, text in part.items():
         assert text in got[k], (k, got[k])
@@ -185,7 +193,7 @@ def test_boxes_out_of_bounds():
 
 
 def test_solved_layouts_are_valid(spark):
-    rows = layout_queries.QUERIES["solve_layouts"](spark, "").collect()
+    rows = solved(spark).collect()
     assert {r.template_id for r in rows} == {0, 1, 2, 3, 4, 29} and sum(r.solved for r in rows) > 60
     by = {}
     for r in rows:
@@ -199,7 +207,7 @@ def test_solved_layouts_are_valid(spark):
     lamp = {(r.template_id, r.variant): r for r in rows if r.name == "lamp" and r.template_id == 0}
     table = {(r.template_id, r.variant): r for r in rows if r.name == "table" and r.template_id == 0}
     assert all(abs(lamp[k].y - table[k].y - table[k].hy - lamp[k].hy) < 1e-9 for k in lamp)
-    again = layout_queries.QUERIES["solve_layouts"](spark, "").repartition(3).collect()
+    again = solved(spark).repartition(3).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 
 
@@ -301,8 +309,11 @@ def test_providers(spark):
 def test_results_are_written(spark, tmp_path):
     results = spark.createDataFrame([(3, True), (5, False), (9, False)], "task_id long, is_correct boolean")
     folder = f"file://{tmp_path}"
-    sinks.write_results(results, evaluation.summary(results), {"budget": 3}, folder)
-    assert json.loads((tmp_path / "results_info.json").read_text())["stats"] == {"total": 3, "errors": 2, "error_rate": round(2 / 3, 6)}
+    stats = evaluation.summary(results).first().asDict() | {"error_indices": [r.task_id for r in evaluation.error_indices(results).collect()]}
+    sinks.write_results(results.orderBy("task_id"), stats, {"budget": 3}, folder)
+    text = json.loads((tmp_path / "results.json").read_text())
+    assert text["stats"] == {"total": 3, "errors": 2, "error_rate": round(2 / 3, 6), "error_indices": [5, 9]} and text["config"] == {"budget": 3}
+    assert text["results"] == [{"task_id": 3, "is_correct": True}, {"task_id": 5, "is_correct": False}, {"task_id": 9, "is_correct": False}]
     assert sinks.write_hard_data(evaluation.hard_tasks(results), 1, folder) == 2
     assert evaluation.summary(results.limit(0)).first().error_rate == 0
 
