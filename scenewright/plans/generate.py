@@ -261,9 +261,11 @@ def scene_metadata(rows: DataFrame) -> DataFrame:
     return by.select(F.col("question_id").alias("scene_id"), point_file(F.col("question_id")).alias("point_cloud"), "layout_id", text.alias("layout_template"), relations.fill_placeholders(text, F.col("objects")).alias("layout_description"), "objects")
 
 
-def generate(inputs: Inputs, plan: TaskPlan, wanted: int, folder: str, clouds: DataFrame | None = None) -> dict:
+def generate(inputs: Inputs, plan: TaskPlan, wanted: int, folder: str, clouds: DataFrame | None = None, documents: bool = False) -> dict:
     """Make a task set and write it below ``folder``; the returned description is written too.
 
+    ``documents`` adds ``tasks.jsonl`` and ``pcd/metadata.json`` as single files, streamed through the driver.
+
     Every accepted task's scene is described in the metadata. ``clouds`` (cloud_id, pt, x, y, z, and r, g, b if there are colours) are the objects'
     points by object id; with them each scene is written as one cloud.
     """
@@ -272,7 +274,12 @@ def generate(inputs: Inputs, plan: TaskPlan, wanted: int, folder: str, clouds: D
     sinks.write_tasks(made, folder)
     if n:
         rows = task_scenes(inputs, plan, made)
-        sinks.write_scene_metadata(scene_metadata(rows), folder)
+        described = scene_metadata(rows)
+        sinks.write_scene_metadata(described, folder)
+        if documents:
+            sinks.write_array(made.orderBy("question_id").select(*sinks.TASK_FIELDS), f"{folder}/tasks.jsonl", lines_only=True)
+            details = F.struct(F.size("objects").alias("count"), F.col("objects").alias("details"))
+            sinks.write_array(described.withColumn("objects", details).orderBy("scene_id"), f"{folder}/pcd/metadata.json")
         if clouds is not None:
             points = geometry.scene_points(rows.withColumn("cloud_id", F.col("object_id")), clouds).join(rows.select("scene_id", "question_id").distinct(), "scene_id")
             sinks.write_scene_clouds(points, folder).count()

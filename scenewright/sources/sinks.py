@@ -88,8 +88,8 @@ def write_hard_data(hard: DataFrame, seed: int, folder: str) -> int:
     return n
 
 
-def write_array(rows: DataFrame, path: str) -> int:
-    """One document with a JSON array of the rows, in their order; nothing without a row. Rows come to the driver a partition at a time and aren't held."""
+def write_array(rows: DataFrame, path: str, lines_only: bool = False) -> int:
+    """One document with a JSON array of the rows, or with a line for each, in their order; nothing without a row. Rows come to the driver a partition at a time and aren't held."""
     lines = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")).toLocalIterator()
     n, out = 0, None
     for r in lines:
@@ -97,10 +97,11 @@ def write_array(rows: DataFrame, path: str) -> int:
             fs, at = pafs.FileSystem.from_uri(path)
             fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
             out = fs.open_output_stream(at, compression=None)
-        out.write((b",\n" if n else b"[\n") + r.line.encode())
+        between = b"" if lines_only else b",\n" if n else b"[\n"
+        out.write(between + r.line.encode() + (b"\n" if lines_only else b""))
         n += 1
     if out is not None:
-        out.write(b"\n]\n")
+        out.write(b"" if lines_only else b"\n]\n")
         out.close()
     return n
 
