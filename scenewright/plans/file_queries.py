@@ -249,7 +249,8 @@ def _evaluated(sp: SparkSession, d: str) -> DataFrame:
     right = F.col("r.is_correct") == (F.col("r.answer") == F.col("r.options")[0])
     failed = F.array_contains("error_indices", F.col("r.task_id")) == ~F.col("r.is_correct")
     by = own.groupBy("total").agg(F.count("*").alias("n_results"), F.count_if(right & failed).alias("consistent"), F.sum("r.task_id").alias("numbers"))
-    return by.crossJoin(F.broadcast(done.agg(F.max("step").cast("long").alias("last_step")))).select("total", "n_results", "consistent", "numbers", "last_step")
+    last = done.agg(F.max("step")).first()[0]
+    return by.select("total", "n_results", "consistent", "numbers", F.lit(last).cast("long").alias("last_step"))
 
 
 QUERIES["evaluation_files"] = _evaluated
