@@ -8,19 +8,22 @@ of at least ``THRESHOLD`` are joined by distributed union-find.
 
 No bucket is expanded into pairs, and none is held by one task:
 
-1. Buckets are read as sorted streams. The first line of a bucket is its leader; every other line is compared with the leader
+1. Buckets are read in order, slice by slice of the bands' hashes; a slice that is too large to hold is merged from sorted runs in a file. The first line of a bucket is its leader; every other line is compared with the leader
    only, in parts of ``BLOCK`` lines that each get the leader's text. Copies of a template mostly become one component here.
 2. What is left are lines of buckets of three or more that aren't in their leader's component. They are compared with the bucket's lines
    of other components, part by part. So every two lines that share a band are in one component, or have been compared.
 
-What is shuffled: 16 bytes for each band of a line that its task sees first; the texts of candidates only (a Bloom filter of
+What is shuffled: 16 bytes for each band of a line that its task sees first, packed in one row for each slice and half a million of them; the texts of candidates only (a Bloom filter of
 their keys, in slices that are each made in one task, keeps the others back); and the places of lines for the decisions. A line is known by
 two 64-bit hashes: both decide equality; links use the first, whose collisions (about n*n/2^65 of n lines) join two nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import tempfile
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import key_filter
-from .common import Cut, as_bytes, fresh, partitions, pick, small
+from .common import Cut, as_bytes, buffers, fresh, partitions, pick, small
 from .components import connected_components
 
 #: Short enough that a line of 49 characters stays linked after one edit in its middle.
@@ -40,6 +43,10 @@ THRESHOLD = 0.8
 BLOCK = 4096
 #: Keys a task remembers as sent.
 SEEN = 1 << 20
+#: Pairs (band, k), of 16 bytes, that a task collects before it sends them, and that are held of one slice of the bands.
+SENT, HELD = 1 << 19, 1 << 21
+#: Slices for each partition.
+SLICES = 4
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 _BINS = BANDS * ROWS
@@ -168,30 +175,152 @@ def _keys(line: bytes) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _send_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, k) for each band of each line that this task hasn't seen lately."""
-    seen: set[int] = set()
-    key, lines, size = [], [], 0
+def _send_bands(slices: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes (slice, pairs) of texts: the pairs (band, k) for each band of each line that a task hasn't seen lately, packed by slices of the bands."""
 
-    def rows():
-        made = bands([x.decode("utf-8", "replace") for x in lines])
-        return pa.RecordBatch.from_arrays([pa.array(made.ravel()), pa.array(np.repeat(np.array(key, np.int64), BANDS))], ["band", "k"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        key, lines, size = [], [], 0
+        made, n = [], 0
 
-    for batch in small(batches):
-        for text in as_bytes(batch.column(0)):
-            for line in split(text):
-                if line and (k := _keys(line)[0]) not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(k)
-                    key.append(k)
-                    lines.append(line)
-                    size += len(line)
-            if size > 1 << 20:
-                yield rows()
-                key, lines, size = [], [], 0
-    if key:
-        yield rows()
+        def pairs() -> np.ndarray:
+            out = np.empty((len(key), BANDS, 2), np.int64)
+            out[:, :, 0] = bands([x.decode("utf-8", "replace") for x in lines])
+            out[:, :, 1] = np.array(key, np.int64)[:, None]
+            return out.reshape(-1, 2)
+
+        for batch in small(batches):
+            for text in as_bytes(batch.column(0)):
+                for line in split(text):
+                    if line and (k := _keys(line)[0]) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(k)
+                        key.append(k)
+                        lines.append(line)
+                        size += len(line) + 32
+                        if size > 1 << 20:
+                            made.append(pairs())
+                            n += len(made[-1])
+                            key, lines, size = [], [], 0
+                        if n >= SENT:
+                            whole = np.concatenate(made)
+                            made, n = [], 0
+                            yield _packed(whole, slices)
+                            del whole
+        if key:
+            made.append(pairs())
+        if made:
+            yield _packed(np.concatenate(made), slices)
+
+    return send
+
+
+def _packed(pairs: np.ndarray, slices: int) -> pa.RecordBatch:
+    """Rows (slice, pairs), one for each slice that has any."""
+    which = (((pairs[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.uint16)
+    data = pairs[np.argsort(which, kind="stable")]
+    many = np.bincount(which, minlength=slices)
+    own = np.flatnonzero(many)
+    at = np.concatenate([[0], np.cumsum(many[own])]).astype(np.int32) * np.int32(data.itemsize * 2)
+    column = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(at), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), column], ["slice", "pairs"])
+
+
+def _sorted(pairs: np.ndarray) -> np.ndarray:
+    """The different pairs, in order."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    return pairs[new]
+
+
+def _repeated(pairs: np.ndarray) -> np.ndarray:
+    """The pairs whose band isn't alone, in order: few, so that only bands are sorted in full."""
+    band = np.ascontiguousarray(pairs[:, 0])
+    order = np.argsort(band)
+    band = band[order]
+    twin = band[1:] == band[:-1]
+    keep = np.zeros(len(band), bool)
+    keep[1:] = twin
+    keep[:-1] |= twin
+    return _sorted(pairs[order[keep]])
+
+
+def _merged(file: BinaryIO, runs: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+    """The different pairs of sorted runs, from and to these rows of a file, in order and in parts; some ``HELD`` pairs are in memory."""
+    block = max(1, HELD // len(runs))
+    at, now = [a for a, _ in runs], [np.zeros((0, 2), np.int64)] * len(runs)
+    while True:
+        for i, (_, end) in enumerate(runs):
+            if not len(now[i]) and at[i] < end:
+                file.seek(at[i] * 16)
+                now[i] = np.fromfile(file, np.int64, 2 * min(block, end - at[i])).reshape(-1, 2)
+                at[i] += len(now[i])
+        ends = [tuple(x[-1].tolist()) for x in now if len(x)]
+        if not ends:
+            return
+        band, k = min(ends)  # no run has a row up to here that isn't read
+        taken = []
+        for i, x in enumerate(now):
+            low, high = np.searchsorted(x[:, 0], band, "left"), np.searchsorted(x[:, 0], band, "right")
+            n = low + np.searchsorted(x[low:high, 1], k, "right")
+            taken.append(x[:n])
+            now[i] = x[n:]
+        yield _sorted(np.concatenate(taken))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, k), different ones, of the buckets of two lines or more, bucket by bucket and in order of k, from rows (slice, pairs) in order of the slices.
+
+    Of a slice, ``HELD`` pairs are held; the rest is in sorted runs in a file. Buckets of one line may come too.
+    """
+    now, held, size = None, [], 0
+    file, runs, end = None, [], 0
+    made = lambda x: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in x.T], ["band", "k"])
+
+    def put() -> None:
+        nonlocal file, end
+        if file is None:
+            file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        run = _sorted(np.concatenate(held))
+        file.seek(end * 16)
+        file.write(run.data)
+        file.flush()
+        runs.append((end, end + len(run)))
+        end += len(run)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal file, end
+        if not runs:
+            if held:
+                yield made(_repeated(np.concatenate(held)))
+            return
+        if held:
+            put()
+        yield from map(made, _merged(file, runs))
+        file.close()
+        file, end = None, 0
+        runs.clear()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        which = batch.column(0).to_numpy(zero_copy_only=False)
+        raw, at = buffers(batch.column(1))
+        pairs, at = raw.view(np.int64).reshape(-1, 2), at // 16
+        edge = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(which)]
+        for s, e in zip(edge, edge[1:]):
+            if which[s] != now:
+                yield from close()
+                now, held, size = which[s], [], 0
+            for a in range(at[s], at[e], HELD):
+                held.append(pairs[a : min(a + HELD, at[e])])
+                size += len(held[-1])
+                if size > HELD:
+                    put()
+                    held, size = [], 0
+    yield from close()
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +356,11 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(leads), pa.array(parts.astype(np.int32)), pa.array(np.concatenate([k[member], of[opens]]))], ["lead", "part", "k"])
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, part, k) as of ``_leaders``, from rows (slice, pairs) in order of the slices."""
+    return _leaders(_in_order(batches))
+
+
 _EDGE = ["a", "b"]
 
 
@@ -291,8 +425,9 @@ def line_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cut = Cut(spark)
     texts = pick(docs, text="text")
     parts = partitions(docs, 4)
-    near = texts.mapInArrow(_send_bands, "band long, k long").repartition(parts, "band").sortWithinPartitions("band", "k")
-    members = cut(near.mapInArrow(_leaders, "lead long, part int, k long").distinct(), "members")
+    sent = texts.mapInArrow(_send_bands(min(SLICES * parts, 1 << 16)), "slice int, pairs binary")
+    near = sent.repartitionById(parts, F.col("slice") % parts).sortWithinPartitions("slice")
+    members = cut(near.mapInArrow(_members, "lead long, part int, k long").distinct(), "members")
     wanted = cut(_texts(spark, texts, members.select("k")), "candidates")
     rows = members.join(wanted, F.col("k") == F.col("c"))
     group = rows.select("lead", "part", (F.col("k") != F.col("lead")).alias("other"), "k", "line")
