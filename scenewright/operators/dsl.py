@@ -1,6 +1,6 @@
 """Scene descriptions in JSON: extraction, validation rule by rule, templates, dependency structure.
 
-Everything is a column expression over variants, so a table of responses is validated in one scan.
+Everything is a column expression over variants, so a table of responses is validated in one scan. What many expressions use is made once a row.
 """
 
 from __future__ import annotations
@@ -82,24 +82,27 @@ def _least(errors: Column) -> Column:
     return F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0))
 
 
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with more columns, made once a row. They come out of a generator: the optimizer puts a projected column in the place of each of its uses, and
+    here that would parse a text some fifty times."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def validate(responses: DataFrame, text: str = "response") -> DataFrame:
     """The rows with ``dsl`` (variant), ``is_valid`` and ``error``, the message of the first rule that fails.
 
     A null response, and one that isn't a JSON object, is invalid: its error is ``Invalid JSON``. Repeated object names
     are invalid too, since relations couldn't tell them apart.
     """
-    v = F.try_parse_json(extract_json(F.col(text)))
-    rows = responses.withColumn("dsl", v)
+    rows = _once(responses, dsl=F.try_parse_json(extract_json(F.col(text))))
     d = F.col("dsl")
-    rows = rows.withColumns({
-        "o_": F.when(F.try_variant_get(d, "$.objects", "array<variant>").isNotNull(), F.try_variant_get(d, "$.objects", "array<variant>")),
-        "r_": F.try_variant_get(d, "$.relations", "array<variant>"),
-        "t_": F.coalesce(_get(d, "$.description", "string"), _get(d, "$.descirption", "string"), F.lit("")),
-    })
-    rows = rows.withColumns({
-        "n_": F.transform("o_", lambda o: _get(o, "$.name", "string")),
-        "z_": F.transform("o_", lambda o: _get(o, "$.size", "string")),
-    })
+    rows = _once(
+        rows,
+        o_=F.try_variant_get(d, "$.objects", "array<variant>"),
+        r_=F.try_variant_get(d, "$.relations", "array<variant>"),
+        t_=F.coalesce(_get(d, "$.description", "string"), _get(d, "$.descirption", "string"), F.lit("")),
+    )
+    rows = _once(rows, n_=F.transform("o_", lambda o: _get(o, "$.name", "string")), z_=F.transform("o_", lambda o: _get(o, "$.size", "string")))
     count = F.size("o_")
     absent = F.filter("n_", lambda n: ~F.contains(F.lower("t_"), F.lower(n)))
     error = _first(
@@ -117,7 +120,7 @@ def validate(responses: DataFrame, text: str = "response") -> DataFrame:
         F.when(F.size(absent) > 0, _say("Description must contain object name '", F.get(absent, F.lit(0)), "'")),
         F.when(F.size(F.array_distinct("n_")) < count, "Object names must be different"),
     )
-    return rows.withColumn("error", error).withColumn("is_valid", F.col("error").isNull()).drop("o_", "r_", "t_", "n_", "z_")
+    return _once(rows, error=error).withColumn("is_valid", F.col("error").isNull()).drop("o_", "r_", "t_", "n_", "z_")
 
 
 DSL = "struct<description:string,objects:array<struct<name:string,size:string,rotation:double>>,relations:array<struct<subject:string,relation:string,reference:string>>>"
@@ -129,17 +132,18 @@ def parse(validated: DataFrame) -> DataFrame:
     objects = F.try_variant_get(d, "$.objects", "array<struct<name:string,size:string,rotation:double>>")
     relations = F.coalesce(F.try_variant_get(d, "$.relations", "array<struct<subject:string,relation:string,reference:string>>"), F.array().cast("array<struct<subject:string,relation:string,reference:string>>"))
     text = F.coalesce(_get(d, "$.description", "string"), _get(d, "$.descirption", "string"))
-    return validated.filter("is_valid").withColumn("scene", F.struct(text.alias("description"), objects.alias("objects"), relations.alias("relations"))).drop("dsl", "error", "is_valid")
+    return _once(validated.filter("is_valid"), scene=F.struct(text.alias("description"), objects.alias("objects"), relations.alias("relations"))).drop("dsl", "error", "is_valid")
 
 
 def abstract(parsed: DataFrame) -> DataFrame:
     """``template`` from ``scene``: names become obj_0, obj_1 and so on, in brackets in the description."""
-    s = F.col("scene")
-    names = F.transform(s["objects"], lambda o: o["name"])
+    s, names = F.col("scene"), F.col("names_")
+    parsed = _once(parsed, names_=F.transform(s["objects"], lambda o: o["name"]))
     label = lambda n: F.concat(F.lit("obj_"), (F.array_position(names, n) - 1).cast("string"))
     objects = F.transform(s["objects"], lambda o, i: F.struct(F.concat(F.lit("obj_"), i.cast("string")).alias("name"), o["size"].alias("size"), o["rotation"].alias("rotation")))
     relations = F.transform(s["relations"], lambda r: F.struct(label(r["subject"]).alias("subject"), r["relation"].alias("relation"), label(r["reference"]).alias("reference")))
-    return parsed.withColumn("template", F.struct(abstract_names(s["description"], names).alias("description"), objects.alias("objects"), relations.alias("relations")))
+    template = F.struct(abstract_names(s["description"], names).alias("description"), objects.alias("objects"), relations.alias("relations"))
+    return _once(parsed, template=template).drop("names_")
 
 
 def edges(parsed: DataFrame, key: str) -> DataFrame:
@@ -154,6 +158,19 @@ def in_degree(parsed: DataFrame, key: str) -> DataFrame:
     return objects.join(n, [key, "name"], "left").select(key, "name", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
 
+def depths(parsed: DataFrame, key: str) -> DataFrame:
+    """(key, name, depth) of every object: the links of the longest chain of references that leads to it, at most MOST_OBJECTS, as in a cycle there is no last.
+
+    A description is one row's work: ``ends_`` has, for each number of links from 0, the objects in which a chain of so many ends.
+    """
+    names = F.transform("scene.objects", lambda o: o["name"])
+    after = lambda ends: F.array_distinct(F.transform(F.filter("scene.relations", lambda r: F.array_contains(ends, r["reference"])), lambda r: r["subject"]))
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_OBJECTS)), F.array(names), lambda found, _: F.concat(found, F.array(after(F.element_at(found, -1)))))
+    rows = parsed.select(key, ends.alias("ends_"), F.explode(names).alias("name"))
+    depth = F.array_max(F.transform("ends_", lambda e, k: F.when(F.array_contains(e, F.col("name")), k)))
+    return rows.groupBy(key, "name").agg(F.max(depth).cast("long").alias("depth"))
+
+
 def user_prompt(names: Column) -> Column:
     """The request for a scene of the given objects."""
     quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit('"'), n, F.lit('"'))), ", ")
