@@ -195,11 +195,13 @@ def _sized(objects: DataFrame, size_type: str) -> tuple[DataFrame, list[Column]]
     return v, [F.desc("vol_") if _big(size_type) else F.asc("vol_"), F.asc("idx")]
 
 
-def what_size(objects: DataFrame, size_type: str) -> DataFrame:
-    """The largest or smallest object of each scene of two objects or more."""
+def what_size(objects: DataFrame, size_type: str, names: bool = False) -> DataFrame:
+    """The largest or smallest object of each scene of two objects or more. ``names`` adds ``own``, the set of the scene's names."""
     rows, order = _sized(objects, size_type)
+    if names:
+        rows = rows.withColumn("own", F.collect_set("object_name").over(Window.partitionBy("scene_id")))
     top = rows.withColumn("rank_", F.row_number().over(Window.partitionBy("scene_id").orderBy(*order))).filter("rank_ = 1")
-    return top.select("scene_id", F.col("idx").alias("target_idx"), F.lit(f"What is the {size_type} object in the scene?").alias("question"), F.col("object_name").alias("answer"))
+    return top.select("scene_id", F.col("idx").alias("target_idx"), F.lit(f"What is the {size_type} object in the scene?").alias("question"), F.col("object_name").alias("answer"), *(["own"] if names else []))
 
 
 def _attribute_size(objects: DataFrame, object_values: DataFrame, size_type: str, key: str) -> DataFrame:

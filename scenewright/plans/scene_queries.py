@@ -11,6 +11,7 @@ from ..enums import ATTRIBUTES, RELATIONS
 from ..functions import distractors, relations
 from ..operators import generators as g
 from ..operators import scenes as s
+from ..operators.numbering import FEW
 from ..rng import order_key_sql, uniform, uniform_sql
 from .views import SEED, VIEWS_SQL, catalog, components, numbered, scene_objects, splits, splits_sql
 
@@ -257,20 +258,26 @@ _add(
 
 
 def _name_candidates(sp, d, objects=None):
-    """Wrong names for the largest object: the scene's other names, then catalog names that aren't in the scene."""
+    """Wrong names for the largest object: the scene's other names, then catalog names that aren't in the scene.
+
+    A scene's own names are collected where it is, so nothing is joined but the drawn names. Of the draws at most as many as the scene has names
+    are its own: with as many more as it lacks there are enough, and a scene that lacks none draws none.
+    """
     objects = scene_objects(sp, d) if objects is None else objects
-    found = g.what_size(objects, "largest")
-    own = objects.groupBy("scene_id").agg(F.collect_set("object_name").alias("own"))
+    rows = g.what_size(objects, "largest", names=True).filter(F.col("scene_id").isNotNull())
     names = catalog(sp, d)
     size = names.count()
-    hashed = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.floor(uniform(SEED, "name", F.col("scene_id"), i) * size).cast("long"))
-    drawn = F.array_distinct(F.concat(hashed, F.transform(F.sequence(F.lit(1), F.lit(12)), lambda j: (hashed[0] + j) % size)))
-    more = found.select("scene_id", F.posexplode(drawn).alias("p", "ord")).join(names.select("ord", "object_name"), "ord")
-    more = more.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "object_name"))), lambda x: x["object_name"]).alias("more"))
-    rows = found.join(own, "scene_id").join(more, "scene_id")
+    drawn = s.draws_of(size, 12, lambda i: uniform(SEED, "name", F.col("scene_id"), i))
+    lacks = 3 - F.size(F.array_remove("own", F.col("answer")))
+    drawn = F.slice(drawn, F.lit(1), lacks + F.size("own"))
+    every = rows.withColumn("drawn", F.when(lacks > 0, drawn)).select("scene_id", "target_idx", "question", "answer", "own", F.posexplode_outer("drawn").alias("p", "ord"))
+    named = names.select("ord", "object_name")
+    every = every.join(F.broadcast(named) if size <= FEW else named, "ord", "left")
+    found = F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "object_name")))
+    by = every.groupBy("scene_id").agg(*[F.first(c).alias(c) for c in ("target_idx", "question", "answer", "own")], F.transform(F.array_sort(found), lambda x: x["object_name"]).alias("more"))
     first = distractors.ranked(F.array_remove("own", F.col("answer")), SEED, F.col("scene_id"), "pick")
     rest = F.array_except("more", "own")
-    return rows.select("scene_id", "target_idx", "question", "answer", F.slice(F.concat(first, rest), 1, 3).alias("wrong"))
+    return by.select("scene_id", "target_idx", "question", "answer", F.slice(F.concat(first, rest), 1, 3).alias("wrong"))
 
 
 _NAMES_SQL = f""", b AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY vol DESC, idx) AS r FROM so),
