@@ -2,11 +2,14 @@
 
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenewright.operators import dsl, geometry
+from scenewright.operators import clouds, dsl, geometry, visual
 from scenewright.operators import scenes as s
+from scenewright.sources import files, sinks
 
 
 @pytest.fixture
@@ -67,3 +70,53 @@ def test_few_numbers_keep_scenes_apart(spark, no_small_joins):
     for r in made.collect():
         by.setdefault(r.scene_id, []).append(r)
     assert len(by) == 60 and all(sum(r.cnt for r in rows) == rows[0].n and len({r.object_name for r in rows}) == 2 for rows in by.values())
+
+
+def test_neighbours_in_boxes_are_those_of_all():
+    rng = np.random.default_rng(5)
+    clumps = np.concatenate([rng.normal(size=(1500, 3)), rng.normal(size=(1000, 3)) * 1e-3 + 4, np.repeat(rng.normal(size=(10, 3)), 40, 0), [[1e6, 0, 0]]])
+    for k in (1, 10, 29):
+        far, where = clouds._nearest(clumps, k)
+        want, _ = clouds._nearest_of_all(clumps, k)
+        assert np.array_equal(far, want)
+        assert np.array_equal(far, np.sqrt(((clumps[:, None] - clumps[where]) ** 2).sum(2))) and not (where == np.arange(len(clumps))[:, None]).any()
+
+
+def test_neighbours_are_compared_with_few(monkeypatch):
+    """Four times the points take four times the comparisons, with some for the edges, and not sixteen times."""
+    compared = []
+    real = np.argpartition
+    monkeypatch.setattr(clouds.np, "argpartition", lambda d, *a, **k: (compared.append(np.asarray(d).size if np.ndim(d) == 2 else 0), real(d, *a, **k))[1])
+    clouds._nearest(np.random.default_rng(5).normal(size=(10_000, 3)), 10)
+    small = sum(compared)
+    clouds._nearest(np.random.default_rng(5).normal(size=(40_000, 3)), 10)
+    assert 0 < small and sum(compared) - small < 7 * small
+
+
+def test_documents_do_not_come_to_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows come to the driver"))
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: pytest.fail("rows come to the driver"))
+    rows = spark.range(0, 5000, 1, 7).select("id", F.concat(F.lit("a\n]"), F.col("id").cast("string")).alias("text"), F.lit(None).cast("string").alias("none"))
+    path = f"file://{tmp_path}/rows.json"
+    assert sinks.write_array(rows.orderBy("id"), path) == 5000
+    want = [{"id": k, "text": f"a\n]{k}", "none": None} for k in range(5000)]
+    assert json.loads((tmp_path / "rows.json").read_text()) == want
+    assert sorted(r.id for r in files.read_array(spark, path, "id long, text string").collect()) == list(range(5000))
+    assert sinks.write_array(rows.orderBy("id"), f"file://{tmp_path}/rows.jsonl", lines_only=True) == 5000
+    assert [json.loads(x) for x in (tmp_path / "rows.jsonl").read_text().splitlines()] == want
+    assert sinks.write_array(rows.limit(0), f"file://{tmp_path}/none.json") == 0 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["rows.json", "rows.jsonl"]
+
+
+def test_points_of_visual_scenes_are_made_where_their_place_is(spark, no_small_joins):
+    places = spark.createDataFrame([(i, k, f"obj_{k}", 1.0 * i, 2.0, 3.0, 0.5, 1.0, 2.0, 30.0 * k) for i in range(20) for k in range(3)], "scene_id long, idx long, placeholder string, px double, py double, pz double, hx double, hy double, hz double, rotation double")
+    cloud = spark.createDataFrame([(7, k, k / 3, k * 1.0, 5.0 - k) for k in range(9)], "cloud_id long, pt long, x double, y double, z double")
+    mapping = places.filter("idx = 1").select("scene_id", "placeholder", F.lit("thing").alias("name"), F.lit(7).alias("cloud_id"))
+    made = visual.visual_scene(places, mapping, cloud, 12, 3)
+    got = {(r.scene_id, r.idx, r.pt): r for r in made.collect()}
+    assert len(got) == 20 * 3 * 12 and {r.display for r in got.values() if r.idx == 1} == {"thing"}
+    cubes = visual.cube_points(spark.createDataFrame([("cube:4:2",)], "cloud_id string"), 12, 3)
+    one = places.filter("scene_id = 4 and idx = 2").withColumn("cloud_id", F.lit("cube:4:2"))
+    for r in geometry.scene_points(one, cubes).collect():
+        assert all(abs(r[c] - got[4, 2, r.pt][c]) < 1e-12 for c in "xyz")
+    # two joins of the places with their mapping, and three of the cloud with what is its own; points are joined by no shuffle
+    assert plan(visual.visual_scene(places, mapping, cloud, 12, 3)).count("SortMergeJoin") <= 5
