@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..enums import LEAST_OBJECTS, MOST_OBJECTS, RELATIONS, SIZES
 from ..functions.relations import abstract_names
+from .numbering import once
 
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 
@@ -82,27 +83,21 @@ def _least(errors: Column) -> Column:
     return F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0))
 
 
-def _once(rows: DataFrame, **made: Column) -> DataFrame:
-    """``rows`` with more columns, made once a row. They come out of a generator: the optimizer puts a projected column in the place of each of its uses, and
-    here that would parse a text some fifty times."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
-
-
 def validate(responses: DataFrame, text: str = "response") -> DataFrame:
     """The rows with ``dsl`` (variant), ``is_valid`` and ``error``, the message of the first rule that fails.
 
     A null response, and one that isn't a JSON object, is invalid: its error is ``Invalid JSON``. Repeated object names
     are invalid too, since relations couldn't tell them apart.
     """
-    rows = _once(responses, dsl=F.try_parse_json(extract_json(F.col(text))))
+    rows = once(responses, dsl=F.try_parse_json(extract_json(F.col(text))))
     d = F.col("dsl")
-    rows = _once(
+    rows = once(
         rows,
         o_=F.try_variant_get(d, "$.objects", "array<variant>"),
         r_=F.try_variant_get(d, "$.relations", "array<variant>"),
         t_=F.coalesce(_get(d, "$.description", "string"), _get(d, "$.descirption", "string"), F.lit("")),
     )
-    rows = _once(rows, n_=F.transform("o_", lambda o: _get(o, "$.name", "string")), z_=F.transform("o_", lambda o: _get(o, "$.size", "string")))
+    rows = once(rows, n_=F.transform("o_", lambda o: _get(o, "$.name", "string")), z_=F.transform("o_", lambda o: _get(o, "$.size", "string")))
     count = F.size("o_")
     absent = F.filter("n_", lambda n: ~F.contains(F.lower("t_"), F.lower(n)))
     error = _first(
@@ -120,7 +115,7 @@ def validate(responses: DataFrame, text: str = "response") -> DataFrame:
         F.when(F.size(absent) > 0, _say("Description must contain object name '", F.get(absent, F.lit(0)), "'")),
         F.when(F.size(F.array_distinct("n_")) < count, "Object names must be different"),
     )
-    return _once(rows, error=error).withColumn("is_valid", F.col("error").isNull()).drop("o_", "r_", "t_", "n_", "z_")
+    return once(rows, error=error).withColumn("is_valid", F.col("error").isNull()).drop("o_", "r_", "t_", "n_", "z_")
 
 
 DSL = "struct<description:string,objects:array<struct<name:string,size:string,rotation:double>>,relations:array<struct<subject:string,relation:string,reference:string>>>"
@@ -132,18 +127,18 @@ def parse(validated: DataFrame) -> DataFrame:
     objects = F.try_variant_get(d, "$.objects", "array<struct<name:string,size:string,rotation:double>>")
     relations = F.coalesce(F.try_variant_get(d, "$.relations", "array<struct<subject:string,relation:string,reference:string>>"), F.array().cast("array<struct<subject:string,relation:string,reference:string>>"))
     text = F.coalesce(_get(d, "$.description", "string"), _get(d, "$.descirption", "string"))
-    return _once(validated.filter("is_valid"), scene=F.struct(text.alias("description"), objects.alias("objects"), relations.alias("relations"))).drop("dsl", "error", "is_valid")
+    return once(validated.filter("is_valid"), scene=F.struct(text.alias("description"), objects.alias("objects"), relations.alias("relations"))).drop("dsl", "error", "is_valid")
 
 
 def abstract(parsed: DataFrame) -> DataFrame:
     """``template`` from ``scene``: names become obj_0, obj_1 and so on, in brackets in the description."""
     s, names = F.col("scene"), F.col("names_")
-    parsed = _once(parsed, names_=F.transform(s["objects"], lambda o: o["name"]))
+    parsed = once(parsed, names_=F.transform(s["objects"], lambda o: o["name"]))
     label = lambda n: F.concat(F.lit("obj_"), (F.array_position(names, n) - 1).cast("string"))
     objects = F.transform(s["objects"], lambda o, i: F.struct(F.concat(F.lit("obj_"), i.cast("string")).alias("name"), o["size"].alias("size"), o["rotation"].alias("rotation")))
     relations = F.transform(s["relations"], lambda r: F.struct(label(r["subject"]).alias("subject"), r["relation"].alias("relation"), label(r["reference"]).alias("reference")))
     template = F.struct(abstract_names(s["description"], names).alias("description"), objects.alias("objects"), relations.alias("relations"))
-    return _once(parsed, template=template).drop("names_")
+    return once(parsed, template=template).drop("names_")
 
 
 def edges(parsed: DataFrame, key: str) -> DataFrame:
