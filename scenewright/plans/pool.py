@@ -17,7 +17,7 @@ from ..operators import evaluation, geometry, models
 from ..rng import order_key
 from ..schema import KINDS, TaskPlan
 from ..sources import sinks
-from .generate import Inputs, all_plans, scene_metadata, task_scenes, tasks
+from .generate import Inputs, all_plans, first_attempts, layouts_for, scene_metadata, task_scenes, tasks
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,14 @@ def candidate_pool(inputs: Inputs, size: int, seed: int, kinds: list[str] | None
     """
     kinds = list(KINDS) if kinds is None else kinds
     quota = max(1, size // len(kinds))
-    parts = []
+    parts, chosen = [], []
     for kind in kinds:
         plans = [p for p in all_plans(4, seed) if p.generator_type == kind]
         own = inputs.spark.range(1).select(F.conv(F.substring(order_key(seed, "pool", kind), 1, 7), 16, 10).cast("long")).first()[0]
-        plan = TaskPlan(kind, 4, int(own) % 1_000_000, plans[int(own) % len(plans)].generator_config)
+        chosen.append(TaskPlan(kind, 4, int(own) % 1_000_000, plans[int(own) % len(plans)].generator_config))
+    inputs.draw([(layouts_for(inputs, p.generator_type), p.seed, first_attempts(quota)) for p in chosen])
+    for plan in chosen:
+        kind = plan.generator_type
         try:
             made = tasks(inputs, plan, quota)
         except (ValueError, IndexError):

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from scenewright.operators import clouds, dsl, geometry, visual
 from scenewright.operators import scenes as s
+from scenewright.plans import file_queries, generate
+from scenewright.rng import uniform
 from scenewright.sources import files, sinks
 
+from .core_data import catalog_lines, layouts
+
 
 @pytest.fixture
 def no_small_joins(spark):
@@ -120,3 +124,30 @@ def test_points_of_visual_scenes_are_made_where_their_place_is(spark, no_small_j
         assert all(abs(r[c] - got[4, 2, r.pt][c]) < 1e-12 for c in "xyz")
     # two joins of the places with their mapping, and three of the cloud with what is its own; points are joined by no shuffle
     assert plan(visual.visual_scene(places, mapping, cloud, 12, 3)).count("SortMergeJoin") <= 5
+
+
+def test_attempts_read_only_the_layouts_that_they_drew(spark, tmp_path, no_small_joins):
+    """No plan of a task set shuffles the layouts; their numbers follow the ids."""
+    (tmp_path / "c.jsonl").write_text(catalog_lines(30))
+    (tmp_path / "l.json").write_text(json.dumps(layouts()))
+    inputs = generate.Inputs(spark, files.read_catalog(spark, str(tmp_path / "c.jsonl")), files.read_layouts(spark, str(tmp_path / "l.json")))
+    sizes = {x["id"]: len(x["objects"]) for x in layouts()}
+    for own, least in ((inputs.standard, 2), (inputs.special, 3)):
+        ids = sorted(i for i, n in sizes.items() if 2 <= n <= 9 and n >= least)
+        assert sorted(r.layout_ord for r in own.collect()) == list(range(len(ids)))
+        drawn = inputs.drawn(own, 5, 40).collect()
+        assert len(drawn) == 40 and {r.layout_id for r in drawn} <= set(ids) and all(len(r.objects) == r.n == sizes[r.layout_id] for r in drawn)
+        at = spark.range(40).select("id", F.floor(uniform(5, "layout", F.col("id")) * len(ids)).alias("k")).collect()
+        assert {r.id: ids[r.k] for r in at} == {r.scene_id: r.layout_id for r in drawn}
+    again = inputs.drawn(inputs.standard, 5, 30)
+    text = plan(generate.attempts(inputs, inputs.standard, 5, 0, 30))
+    assert again.count() == 30 and "drawn-" in text and "layouts-" not in text
+
+
+def test_drawn_layouts_are_filtered_in_the_table(spark, tmp_path):
+    """The ids that attempts drew reach the scan of the lines: other scenes aren't made."""
+    spark.createDataFrame([(1, 7, 1, 1, 1.0, 1.0, 0.1, 0.1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, "a b", 1, 1.0)], "p_partkey long, p_name string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    text = plan(file_queries._layouts(spark, str(tmp_path)).filter("id IN (3, 5, 8)"))
+    scan = next(x for x in text.split("\n") if "FileScan" in x and "l_orderkey" in x)
+    assert "l_orderkey" in scan.split("DataFilters")[1] and "IN (3,5,8)" in scan
